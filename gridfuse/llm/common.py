@@ -64,7 +64,7 @@ def texts(column: pa.Array) -> list[bytes]:
     return [v or b"" for v in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str, *others: str, size: int = 4 << 20) -> Iterator[tuple]:
+def chunks(batches: Iterator[pa.RecordBatch], text: str, *others: str, size: int = 2_000_000) -> Iterator[tuple]:
     """Each batch in runs of rows of about `size` bytes of text: (values of the other columns..., texts as UTF-8).
 
     Bounds the memory of numpy work; a longer text is a run of its own, whole.
@@ -82,6 +82,11 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, *others: str, size: int
             yield (*(r[begin:] for r in rest), values[begin:])
 
 
+def tasks(manifest: DataFrame, most: int = 10_000) -> int:
+    """A task for each file of a manifest: its rows are few bytes, its files are not."""
+    return max(1, min(most, manifest.count()))
+
+
 def task_number() -> str:
     """A name that no other attempt of any task has."""
     return f"{os.getpid():x}-{uuid.uuid4().hex[:12]}"

@@ -240,7 +240,7 @@ def write_shards(documents: DataFrame, tokenizer: str, folder: str, *, end_id: i
             writer.close()
             rows.append((path, None if writer.docs[0] == NO_ID else writer.docs[0], len(writer.docs), writer.n))
 
-        for doc_ids, values in common.chunks(batches, "text", "doc_id"):
+        for doc_ids, values in common.chunks(batches, "text", "doc_id", size=4_000_000):
             for doc_id, ids in zip(doc_ids, encode.many(values), strict=True):
                 if writer is None:
                     name = f"shard-{common.task_number()}.bits"
@@ -277,7 +277,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     # One small row for each shard: the running sum needs them in one place, and shards are 2**26 ids each.
     order = Window.orderBy(F.col("first_id").asc_nulls_first(), "path").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
-    return placed.repartition(F.col("path")).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(common.tasks(manifest), "path").mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

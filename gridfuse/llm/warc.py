@@ -150,7 +150,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names)
 
-    return manifest.repartition("path").mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string")
+    return manifest.repartition(common.tasks(manifest), "path").mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
