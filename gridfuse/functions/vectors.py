@@ -48,3 +48,23 @@ def quantise_unit(a) -> Column:
 def quantise_weight(d) -> Column:
     """A weight of 0..2 in 16 bits."""
     return F.floor(F.least(F.greatest(d, F.lit(0.0)), F.lit(2.0)) * 32767.5).cast("int")
+
+
+def normalised_heat(sq, size, sigma: float) -> Column:
+    """`heat` of a squared distance over twice the number of components."""
+    return F.exp(-sq / (2.0 * size) / (2.0 * sigma * sigma))
+
+
+def correlation(a, b) -> Column:
+    """Pearson's correlation from sums; null where one side is constant."""
+    n, sa, sb = F.size(a), total(a), total(b)
+    spread = (n * dot(a, a) - sa * sa) * (n * dot(b, b) - sb * sb)
+    return (n * dot(a, b) - sa * sb) / F.sqrt(F.when(spread > 0, spread))
+
+
+def fisher_z(r) -> Column:
+    return 0.5 * F.log((1 + r) / (1 - r))
+
+
+def hamming(a, b) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))

@@ -65,11 +65,10 @@ def rena(voxels: DataFrame, k: int, connectivity: int = 6) -> DataFrame:
     return groups.dense(labels.withColumn("cid", F.col("cid") + 1))
 
 
-METHODS = {"slic": slic, "rena": rena}
-
-
 def cluster(voxels: DataFrame, k: int, method: str = "slic", **options) -> DataFrame:
-    """Labels (vid, cid) of voxels (vid, x, y, z, ts) by a method of METHODS."""
+    """Labels (vid, cid) of voxels (vid, x, y, z, ts) by a method of `methods.METHODS`."""
+    from gridfuse.operators.methods import METHODS  # it builds on this module
+
     if method not in METHODS:
         raise ValueError(f"method must be one of {sorted(METHODS)}")
     if not (isinstance(k, int) and k > 0 and not math.isinf(k)):

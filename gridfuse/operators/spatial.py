@@ -41,13 +41,9 @@ def edge_distances(edges: DataFrame, voxels: DataFrame) -> DataFrame:
 
 
 def edge_similarity(edges: DataFrame, voxels: DataFrame) -> DataFrame:
-    """(src, dst, w): (correlation + 1) / 2."""
-    rows = with_features(edges, voxels)
-    for c in ("a", "b"):
-        rows = rows.withColumn(f"m{c}", V.mean(c))
-    rows = rows.withColumn("a", F.transform("a", lambda x: x - F.col("ma"))).withColumn("b", F.transform("b", lambda x: x - F.col("mb")))
-    r = V.dot("a", "b") / (V.norm("a") * V.norm("b"))
-    return rows.select("src", "dst", F.least(F.greatest((r + 1) / 2, F.lit(0.0)), F.lit(1.0)).alias("w"))
+    """(src, dst, w): (correlation + 1) / 2, or 0 where a side is constant."""
+    r = V.correlation("a", "b")
+    return with_features(edges, voxels).select("src", "dst", F.least(F.greatest((r + 1) / 2, F.lit(0.0)), F.lit(1.0)).alias("w"))
 
 
 def nearest(voxels: DataFrame, k: int, reach: int) -> DataFrame:
