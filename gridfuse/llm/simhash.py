@@ -182,30 +182,42 @@ def link(prints: DataFrame, bands: list[np.ndarray], radius: int, shard_nodes: i
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(batch.column(c).take(pa.array(pick)) for c in ("node", *names))], ["bucket", "node", *names])
 
     dealt = prints.filter("node IS NOT NULL").mapInArrow(deal, "bucket long, node long, " + ", ".join(f"{c} long" for c in names))
-    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    sizes = sizes.withColumn("m", F.ceil(F.col("n") / shard_nodes).cast("int"))
+
+    def spanning(c: dict, pairs: Iterator[tuple[np.ndarray, np.ndarray]], prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        label = np.arange(len(prints))
+        for q, t in pairs:
+            unite(label, q, t)
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        yield pa.RecordBatch.from_arrays([pa.array(c["node"][moved]), pa.array(c["node"][label[moved]])], ["a", "b"])
+
+    return searched(dealt, names, radius, shard_nodes, spanning, "a long, b long").distinct()
+
+
+def searched(dealt: DataFrame, names: list[str], radius: int, shard_nodes: int, found, schema: str, home: bool = False) -> DataFrame:
+    """Rows (bucket, node, *names) -> what `found` makes of the pairs of each bucket within the radius.
+
+    With `home`, rows have a component of that name, and buckets of a single one are left out.
+    """
+    extra = ["home"] if home else []
+    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("n"), *([F.min("home").alias("lo"), F.max("home").alias("hi")] if home else [])).filter("n > 1 AND lo < hi" if home else "n > 1")
+    sizes = sizes.select("bucket", F.ceil(F.col("n") / shard_nodes).cast("int").alias("m"))
     rows = dealt.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
     # Blocks i <= j of a bucket meet in the shard (i, j): the tree of i, searched with j.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", *names)
+    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", *extra, *names)
     rows = rows.withColumn("shard", F.xxhash64("bucket", "i", "j"))
     ordered = rows.repartition("shard").sortWithinPartitions("bucket", "i", "j", "node")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(part: pa.Table) -> pa.RecordBatch:
+        for part in whole_groups(batches, ["bucket", "i", "j"], ROWS):
             c = {n: part.column(n).to_numpy() for n in part.column_names}
             f = np.stack([c[n] for n in names], 1).view(np.uint64)
             new = (np.diff(c["bucket"]) != 0) | (np.diff(c["i"]) != 0) | (np.diff(c["j"]) != 0)
             group = np.concatenate(([0], np.cumsum(new)))
-            label = np.arange(len(group))
-            for q, t in Forest(f, group, c["block"] == c["i"]).search(np.flatnonzero(c["block"] == c["j"]), group, radius):
-                unite(label, q, t)
-            moved = np.flatnonzero(label != np.arange(len(label)))
-            return pa.RecordBatch.from_arrays([pa.array(c["node"][moved]), pa.array(c["node"][label[moved]])], ["a", "b"])
+            pairs = Forest(f, group, c["block"] == c["i"]).search(np.flatnonzero(c["block"] == c["j"]), group, radius)
+            yield from found(c, pairs, f)
 
-        yield from (links(part) for part in whole_groups(batches, ["bucket", "i", "j"], ROWS))
-
-    return ordered.mapInArrow(search, "a long, b long").distinct()
+    return ordered.mapInArrow(search, schema)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str], rows: int) -> Iterator[pa.Table]:
@@ -241,6 +253,108 @@ def classes(prints: DataFrame, bands: list[np.ndarray], radius: int, shard_nodes
     return prints.join(named, names)
 
 
+# -- near copies by exact similarity ----------------------------------------
+
+
+def shingle_set(text: bytes, words: int) -> tuple[np.ndarray, int]:
+    """The distinct shingles of a text, and a 64-bit hash of that set."""
+    import xxhash
+
+    found = np.unique(shingle_hashes(text, words))
+    return found, int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64))
+
+
+def band_keys(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key a band: equal in two sets of similarity s with probability s**rows, being hashes of `rows` minima."""
+    if not len(found):
+        return np.arange(bands)
+    xor, times = (np.random.default_rng(s).integers(0, 2**63, (bands, rows, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1) for s in (11, 12))
+    least = np.stack([((found ^ x) * m).min(1) for x, m in zip(xor, times, strict=True)])
+    key = np.arange(bands, dtype=np.uint64)
+    for i in range(rows):
+        key = bytes_np.mix(key ^ least[:, i]) + np.uint64(i)
+    return key.view(np.int64)
+
+
+def set_prints(documents: DataFrame, words: int, lanes: int, bands: int, rows: int) -> DataFrame:
+    """(doc_id, node, f0, ..., keys): the hash of the set of shingles, its fingerprint and its band keys."""
+    names = [f"f{i}" for i in range(lanes)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, values in common.chunks(batches, "text", "doc_id"):
+            sets = [shingle_set(v, words) for v in values]
+            prints = np.array([simhash(s, lanes) for s, _ in sets], np.uint64).reshape(-1, lanes).view(np.int64)
+            keys = pa.array([band_keys(s, bands, rows) for s, _ in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([n for _, n in sets], pa.int64()), *(pa.array(prints[:, i]) for i in range(lanes)), keys], ["doc_id", "node", *names, "keys"])
+
+    schema = "doc_id long, node long, " + ", ".join(f"{c} long" for c in names) + ", keys array<long>"
+    return common.as_table(documents, "doc_id", "text").mapInArrow(run, schema)
+
+
+def shingle_sets(documents: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (values,) in common.chunks(batches, "text"):
+            sets = [shingle_set(v, words) for v in values]
+            yield pa.RecordBatch.from_arrays([pa.array([n for _, n in sets], pa.int64()), pa.array([s.view(np.int64) for s, _ in sets], pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return common.as_table(documents, "text").mapInArrow(run, "node long, shingles array<long>")
+
+
+def similar(pairs: DataFrame, documents: DataFrame, distinct: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles are alike by `percent` at least, of all that either holds."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted, _ = common.cut(distinct.join(nodes, "node", "left_semi").select("node", "doc_id"), "wanted")
+    texts = common.as_table(documents, "doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    # A doc_id that stands twice may have texts of other nodes.
+    sets, _ = common.cut(shingle_sets(texts, words).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingles")
+    both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
+    shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("m"))
+    return shared.filter(F.col("n") * 100 >= (F.col("m") - F.col("n")) * percent).select("a", "b")
+
+
+def near_copies(documents: DataFrame, words: int, lanes: int, radius: int, bands: int, rows: int, percent: int = 80, shard_nodes: int = 1024) -> DataFrame:
+    """(doc_id, component_id) of documents with a doc_id: classes of texts linked by a similarity of `percent`, named by their smallest doc_id.
+
+    Buckets are bands of minima, the BK-trees' radius narrows them, and the shingles themselves decide. First each node
+    is tried with the nearest before it, which joins most copies; then all pairs that are still of two classes.
+    """
+    names = [f"f{i}" for i in range(lanes)]
+    prints, _ = common.cut(set_prints(documents.filter("doc_id IS NOT NULL"), words, lanes, bands, rows), "prints")
+    distinct, _ = common.cut(prints.groupBy("node", *names).agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), "nodes")
+
+    def nearest(c: dict, pairs: Iterator[tuple[np.ndarray, np.ndarray]], f: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, none = c["node"], np.iinfo(np.int64).max
+        best = np.full(len(node), none)
+        for q, t in pairs:
+            q, t = np.where(node[q] > node[t], q, t), np.where(node[q] > node[t], t, q)
+            np.minimum.at(best, q, (distance(f[q], f[t]) << 40) + t)
+        q = np.flatnonzero(best < none)
+        yield pa.RecordBatch.from_arrays([pa.array(node[q]), pa.array(best[q] >> 40), pa.array(node[best[q] & ((1 << 40) - 1)])], ["a", "d", "b"])
+
+    def apart(c: dict, pairs: Iterator[tuple[np.ndarray, np.ndarray]], f: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, home = c["node"], c["home"]
+        for q, t in pairs:
+            differ = home[q] != home[t]
+            q, t = node[q[differ]], node[t[differ]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(q, t)), pa.array(np.minimum(q, t))], ["a", "b"])
+
+    dealt = distinct.select(F.explode("keys").alias("bucket"), "node", *names)
+    first = searched(dealt, names, radius, shard_nodes, nearest, "a long, d long, b long")
+    first, _ = common.cut(first.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "pairs")
+    links, _ = common.cut(similar(first, documents, distinct, words, percent), "links")
+    homes, _ = common.cut(connected(links), "homes")
+    placed = distinct.join(homes, "node", "left").select(F.explode("keys").alias("bucket"), "node", F.coalesce("component", "node").alias("home"), *names)
+    left = searched(placed, names, radius, shard_nodes, apart, "a long, b long", home=True).distinct()
+    left, _ = common.cut(left.join(first, ["a", "b"], "left_anti"), "pairs")
+    more, _ = common.cut(similar(left, documents, distinct, words, percent), "links")
+    classes = connected(links.union(more))
+    named = distinct.join(classes, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("home"))
+    least = named.groupBy("home").agg(F.min("doc_id").alias("component_id"))
+    return prints.select("doc_id", "node").join(named.select("node", "home"), "node").join(least, "home").select("doc_id", "component_id")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints, _ = common.cut(fingerprints(common.read(spark, sf_dir, "documents"), words=3), "fingerprints")
     found = classes(prints, blocks(1, 4), radius=3)

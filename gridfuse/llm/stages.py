@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from gridfuse.llm import common, importance, packing, simhash, suffix, winnowing
 
-#: Five-word shingles, 256 bits. A similarity of 0.8 leaves 39 differing bits on average, with a standard deviation of 6.
-WORDS, LANES, RADIUS = 5, 4, 44
-#: 40 buckets of 16 sampled bits: of pairs at a similarity of 0.8, some 95 in 100 share one, at 0.85 all but one in 100.
-BANDS = simhash.samples(LANES, 40, 16)
+#: Five-word shingles, 256 bits. A similarity of 0.8 leaves 39 differing bits on average, with a standard deviation of 6, and up to 48 in
+#: texts of few shingles; unrelated texts differ in 128.
+WORDS, LANES, RADIUS = 5, 4, 76
+#: 24 buckets of 6 minima: of pairs at a similarity of 0.8, 7 in 10,000 share none.
+BANDS, ROWS = 24, 6
 #: Passages of over 50 words have more bytes than this.
 PASSAGE, PASSAGE_GRAM = 256, 160
 
@@ -27,8 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document of the smallest doc_id stays, once."""
-    prints, _ = common.cut(simhash.fingerprints(docs, WORDS, LANES), "fingerprints")
-    stays = simhash.classes(prints, BANDS, RADIUS).filter("doc_id = component_id").select("doc_id").distinct()
+    stays = simhash.near_copies(docs, WORDS, LANES, RADIUS, BANDS, ROWS).filter("doc_id = component_id").select("doc_id").distinct()
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
     known = docs.filter("doc_id IS NOT NULL").join(stays, "doc_id", "left_semi").withColumn("_first", first).filter("_first = 1").drop("_first")
     return known.select(docs.columns).union(docs.filter("doc_id IS NULL"))
