@@ -17,8 +17,8 @@ from gridfuse.llm import common, importance, packing, simhash, suffix, winnowing
 WORDS, LANES, RADIUS = 5, 4, 76
 #: 24 buckets of 6 minima: of pairs at a similarity of 0.8, 7 in 10,000 share none.
 BANDS, ROWS = 24, 6
-#: Passages of over 50 words have more bytes than this.
-PASSAGE, PASSAGE_GRAM = 256, 160
+#: Words of a passage, of over 50, and of its strings of which the least is kept.
+PASSAGE, PASSAGE_GRAM = 51, 32
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of passages that stand elsewhere too are cut out; a character cut in two goes, the document stays."""
-    return suffix.cut_from(docs, PASSAGE, PASSAGE_GRAM)
+    """Passages of words that stand elsewhere too are cut out, the document stays."""
+    return suffix.cut_from(docs, PASSAGE, PASSAGE_GRAM, words=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

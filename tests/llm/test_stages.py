@@ -34,3 +34,25 @@ def test_near_duplicates(spark):
     assert not expected - kept, "a text without a copy went"
     assert len(kept - expected) <= 1, "copies stayed"
     assert 60 < len(expected) - 250 < 240
+
+
+def test_repeated_passages(spark):
+    """Runs of over 50 equal words go however short they are in bytes, runs of 50 words stay."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    short, fifty = [word(2) for _ in range(51)], [word(9) for _ in range(50)]
+    lines = [[word(6) for _ in range(40)] + passage + [word(6) for _ in range(i)] for i, passage in enumerate([short, short, fifty, fifty, [], short[:30], short[20:]])]
+    lines += [lines[0][5:91], [word(1) for _ in range(3)] * 40, []]
+    texts = [" ".join(w) for w in lines]
+    texts[1] = texts[1].replace(" ", " \n")
+    seen = {}
+    for i, w in enumerate(lines):
+        for k in range(len(w) - 50):
+            seen.setdefault(tuple(w[k : k + 51]), []).append((i, k))
+    gone = {(i, k + j) for places in seen.values() if len(places) > 1 for i, k in places for j in range(51)}
+    rows = {r.doc_id: r for r in stages.repeated_passages(spark, frame(spark, texts), "").collect()}
+    assert len(rows) == len(texts) and any(i == 0 for i, _ in gone)
+    for i, w in enumerate(lines):
+        assert rows[i].text.split() == [x for k, x in enumerate(w) if (i, k) not in gone]
+        assert rows[i].n_chars == len(rows[i].text)
+    assert rows[2].text == texts[2]
