@@ -3,8 +3,9 @@
 Texts are bags of hashed words and word pairs. Generative models over the
 buckets are counted for target text (labelled good and not toxic), for raw text (every document)
 and for toxic text. A document's log weight comes from the log ratio of target to raw,
-a mean over its n-grams, and from that of target to toxic, a sum; a bucket whose
-counts differ by under `z` standard errors has ratio 0, so that only proven differences count. Both are put on
+a mean over its n-grams, and from that of target to toxic, a sum. In the first, a bucket whose
+counts differ by under RAW_Z standard errors has ratio 0, so that only proven differences count; the second, of few
+labelled texts, is shrunk smoothly by its standard errors, half of it being left at TOXIC_Z, so that rare words count too. Both are put on
 one scale by the scores that all but `lost` of the labelled target texts exceed; the log weight is
 the smaller margin. Gumbel top-k sampling without replacement then keeps k documents, k being the
 number with a log weight of at least zero.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from gridfuse.llm import bytes_np, common
 
 BUCKETS, SAMPLE, TEMPERATURE, LOST = 1 << 18, 50_000, 0.05, 0.002
-RAW_Z, TOXIC_Z = 4.0, 10.0
+RAW_Z, TOXIC_Z = 4.0, 4.0
 
 
 def features(values: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,8 +78,8 @@ def count(documents: DataFrame, target: np.ndarray, toxic: np.ndarray, buckets:
     return out
 
 
-def ratio(target: np.ndarray, other: np.ndarray, z: float) -> np.ndarray:
-    """log p_target - log p_other of each bucket, add-one smoothed; 0 where the counts differ by under z standard errors.
+def ratio(target: np.ndarray, other: np.ndarray, z: float, smooth: bool = False) -> np.ndarray:
+    """log p_target - log p_other of each bucket, add-one smoothed; 0 where the counts differ by under z standard errors, or shrunk `smooth`ly.
 
     Counts are compared as square roots, whose error hardly depends on the count.
     """
@@ -87,7 +88,7 @@ def ratio(target: np.ndarray, other: np.ndarray, z: float) -> np.ndarray:
         return np.zeros(len(target), np.float32)
     found = np.log((target + 1) / (n + len(target))) - np.log((other + 1) / (m + len(other)))
     apart = 2 * np.abs(np.sqrt(other + 0.375) - np.sqrt(target * (m / n) + 0.375)) / np.sqrt(1 + m / n)
-    return np.where(apart >= z, found, 0).astype(np.float32)
+    return (found * apart**4 / (apart**4 + z**4) if smooth else np.where(apart >= z, found, 0)).astype(np.float32)
 
 
 class Classifier:
@@ -98,7 +99,7 @@ class Classifier:
         self.temperature, self.seed = temperature, seed
         self.target, toxic = labelled(labels, sample)
         raw_n, target_n, toxic_n = count(documents, self.target, toxic, buckets)
-        self.sent = spark.sparkContext.broadcast((ratio(target_n, raw_n, RAW_Z), ratio(target_n, toxic_n, TOXIC_Z)))
+        self.sent = spark.sparkContext.broadcast((ratio(target_n, raw_n, RAW_Z), ratio(target_n, toxic_n, TOXIC_Z, smooth=True)))
         self.scored, _ = common.cut(self._ratios(documents), "ratios")
         known = self.scored.filter("is_target").select("mean_raw", "sum_toxic").toPandas()  # rows of at most `sample` ids
         self.bounds = [float(known[c].quantile(lost)) if len(known) else 0.0 for c in ("mean_raw", "sum_toxic")]

@@ -3,7 +3,7 @@
 import random
 
 import numpy as np
-from gridfuse.llm import simhash, stages
+from gridfuse.llm import importance, simhash, stages
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -56,3 +56,14 @@ def test_repeated_passages(spark):
         assert rows[i].text.split() == [x for k, x in enumerate(w) if (i, k) not in gone]
         assert rows[i].n_chars == len(rows[i].text)
     assert rows[2].text == texts[2]
+
+
+def test_rare_toxic_words_are_evidence(spark):
+    """A word of 30 labelled toxic texts counts in a small table."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice([f"v{i}" for i in range(1000)]) for _ in range(100)) + " vile" * (i < 30) for i in range(330)]
+    labels = spark.createDataFrame([(i, int(i >= 30), int(i < 30)) for i in range(330)], "doc_id long, quality int, toxic int")
+    c = importance.Classifier(frame(spark, texts), labels)
+    assert c.scored.filter("doc_id < 30 AND sum_toxic < 0").count() >= 25
+    kept = {r.doc_id for r in c.result().filter("kept").collect()}
+    assert len([i for i in kept if i < 30]) <= 5 and len([i for i in kept if i >= 30]) >= 285
