@@ -74,6 +74,8 @@ def assign(voxels: DataFrame, centers: DataFrame, step: float, weight: float) ->
 
     Centers are dealt to cells, so a voxel meets only those near it.
     """
+    from gridfuse.operators import graph  # imports this module
+
     size = 2.0 * step
     cells = [F.floor(F.col(c) / size).cast("long").alias(n) for c, n in zip(("cx", "cy", "cz"), "ijk", strict=True)]
     around = F.explode(F.array(*[F.struct(*[F.lit(d).alias(n) for d, n in zip(o, ("di", "dj", "dk"), strict=True)]) for o in itertools.product((-1, 0, 1), repeat=3)]))
@@ -82,7 +84,13 @@ def assign(voxels: DataFrame, centers: DataFrame, step: float, weight: float) ->
     space = sum((F.col(c) - F.col(f"c{c}")) * (F.col(c) - F.col(f"c{c}")) for c in "xyz")
     cost = V.sq_distance("ts", "feat") + space * (weight * weight / (step * step))
     best = points.join(spread, list("ijk")).groupBy("vid").agg(F.min(F.struct(cost.alias("cost"), F.col("cid"))).alias("m")).select("vid", F.col("m.cid").alias("cid"))
-    return best
+    best = graph.saved(best)
+    rest = voxels.select("vid", "ts", "x", "y", "z").join(best, "vid", "left_anti")
+    if rest.isEmpty():
+        return best
+    # Far from all centers: every one is tried, and only the best of each task is dealt out.
+    far = rest.crossJoin(centers.select("cid", "feat", "cx", "cy", "cz")).groupBy("vid").agg(F.min(F.struct(cost.alias("cost"), F.col("cid"))).alias("m"))
+    return best.union(far.select("vid", F.col("m.cid").alias("cid")))
 
 
 def step_for(n: int, k: int) -> float:

@@ -85,3 +85,12 @@ def test_stream_labels_as_batch(spark, bands, tmp_path):
     assign.label_stream(stream, centers, 3.0, 0.1, f"{tmp_path}/out", f"{tmp_path}/state", once=True).awaitTermination()
     found = spark.read.parquet(f"{tmp_path}/out").select("vid", "cid")
     assert found.join(bands.select("vid", F.col("cid").alias("truth")), "vid").filter("cid = truth").count() == 48
+
+
+def test_stream_labels_far_voxels(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0, 0, 0, [0.0]), (2, 90, 0, 0, [5.0]), (3, 0, 90, 90, [0.1])], "vid long, x int, y int, z int, ts array<double>")
+    centers = spark.createDataFrame([(1, [0.0], 0.0, 0.0, 0.0), (2, [5.0], 30.0, 0.0, 0.0)], "cid long, feat array<double>, cx double, cy double, cz double")
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    assign.label_stream(stream, centers, 3.0, 0.1, f"{tmp_path}/out", f"{tmp_path}/state", once=True).awaitTermination()
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("vid", "cid").collect()) == [(1, 1), (2, 2), (3, 1)]
