@@ -3,7 +3,7 @@
 import random
 
 import numpy as np
-from gridfuse.llm import importance, simhash, stages
+from gridfuse.llm import importance, simhash, stages, suffix
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -67,3 +67,20 @@ def test_rare_toxic_words_are_evidence(spark):
     assert c.scored.filter("doc_id < 30 AND sum_toxic < 0").count() >= 25
     kept = {r.doc_id for r in c.result().filter("kept").collect()}
     assert len([i for i in kept if i < 30]) <= 5 and len([i for i in kept if i >= 30]) >= 285
+
+
+def test_suffix_order_decides_repeats(spark, monkeypatch):
+    """Phrases that stand once take part in the suffix sort, and are told from repeats by it."""
+    rng = random.Random(6)
+    words = [f"v{rng.randrange(10**5)}" for _ in range(60)]
+    texts = [" ".join(words), " ".join(words), " ".join(words[:40] + ["x"] + words[40:])]
+    held = {}
+
+    def ranks(strings, depth=None):
+        held["names"] = [r.x for r in strings.collect()]
+        return whole(strings, depth)
+
+    whole = suffix.suffix_ranks
+    monkeypatch.setattr(suffix, "suffix_ranks", ranks)
+    suffix.repeated_windows(suffix.keyed(frame(spark, texts)), 60, 40)
+    assert min(held["names"].count(x) for x in held["names"]) == 1 < max(held["names"].count(x) for x in held["names"])
