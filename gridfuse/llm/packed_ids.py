@@ -201,6 +201,10 @@ class WordEncoder:
         words_before = np.searchsorted(start, np.concatenate(([0], np.cumsum(lengths))))
         keys = bytes_np.span_hash(bytes_np.prefix_hash(bytes_np.BYTE_VALUE[data]), start, end)
         _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        # Words that share a hash are compared; one that differs from the first of its hash is a word of its own.
+        other = np.flatnonzero((end - start != (end - start)[first][which]) | ~bytes_np.same_spans(text, start, end, start[first][which]))
+        which[other] = len(first) + np.arange(len(other))
+        first = np.concatenate((first, other))
         word = self._word
         found = [word(text[s:e].decode()) for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)]
         flat = np.frombuffer(b"".join(found), np.uint32)

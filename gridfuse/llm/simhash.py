@@ -1,8 +1,9 @@
 """Operator 3: near duplicates by SimHash fingerprints, searched in BK-trees.
 
 A fingerprint is compared with others of its bucket only; buckets are bands of
-bits. For 64 bits and radius 3 the four 16-bit blocks lose no link (three
-differing bits leave one block untouched). In a bucket, the fingerprints form a
+bits, as in `tables`: the bits fall into m blocks, and each choice of m - 3 of them is a band. Three
+differing bits leave m - 3 blocks untouched, so no link is lost; m grows with the number of fingerprints, so that
+buckets don't. In a bucket, the fingerprints form a
 BK-tree (children keyed by their integer Hamming distance to the parent), and a
 search follows only edges within the radius of the distance to the node. A
 bucket larger than `shard_nodes` is dealt into blocks; each pair of blocks is a
@@ -12,13 +13,14 @@ broadcast: the trees of all documents have no size bound. A task hands on only a
 spanning set of the links that it finds, and components come from those.
 
 Defined results: null or word-less text has fingerprint zero, linked like any
-other; equal fingerprints link; rows with a null doc_id take part and come back
-with the component of their fingerprint; repeated doc_ids come back as often as
-they stand; an empty table gives no rows.
+other; equal fingerprints link; rows with a null doc_id take part, link others, and come back
+with the component of their fingerprint (null if no doc_id is in it); repeated doc_ids come back as often as
+they stand and tie nothing: each row has the component of its fingerprint; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,10 +158,15 @@ def blocks(lanes: int, n: int) -> list[np.ndarray]:
     return np.array_split(np.arange(64 * lanes), n)
 
 
-def samples(lanes: int, n: int, bits: int, seed: int = 7) -> list[np.ndarray]:
-    """n random sets of bits, for radii at which no few blocks can be sure to agree."""
-    rng = np.random.default_rng(seed)
-    return [np.sort(rng.choice(64 * lanes, bits, replace=False)) for _ in range(n)]
+def tables(lanes: int, radius: int, n: int, bucket: int = 1024) -> list[np.ndarray]:
+    """Bands in which every pair within the radius meets, with buckets of about `bucket` of n fingerprints that are spread evenly.
+
+    With m blocks each choice of m - radius of them is a band; m is the least that gives few enough, or radius + 4.
+    """
+    for m in range(radius + 1, radius + 5):
+        if n <= bucket << (64 * lanes * (m - radius) // m):
+            break
+    return [np.concatenate(c) for c in itertools.combinations(blocks(lanes, m), m - radius)]
 
 
 def link(prints: DataFrame, bands: list[np.ndarray], radius: int, shard_nodes: int = 1024) -> DataFrame:
@@ -181,7 +188,7 @@ def link(prints: DataFrame, bands: list[np.ndarray], radius: int, shard_nodes: i
             pick = np.tile(np.arange(n), len(bands))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(batch.column(c).take(pa.array(pick)) for c in ("node", *names))], ["bucket", "node", *names])
 
-    dealt = prints.filter("node IS NOT NULL").mapInArrow(deal, "bucket long, node long, " + ", ".join(f"{c} long" for c in names))
+    dealt = prints.mapInArrow(deal, "bucket long, node long, " + ", ".join(f"{c} long" for c in names))
 
     def spanning(c: dict, pairs: Iterator[tuple[np.ndarray, np.ndarray]], prints: np.ndarray) -> Iterator[pa.RecordBatch]:
         label = np.arange(len(prints))
@@ -244,13 +251,16 @@ def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str], rows: int) ->
         yield pa.Table.from_batches(held)
 
 
-def classes(prints: DataFrame, bands: list[np.ndarray], radius: int, shard_nodes: int = 1024) -> DataFrame:
-    """Fingerprints (doc_id, f0, ...) -> the same rows with component_id, the smallest doc_id that links reach."""
+def classes(prints: DataFrame, radius: int, bands: list[np.ndarray] | None = None, shard_nodes: int = 1024) -> DataFrame:
+    """Fingerprints (doc_id, f0, ...) -> the same rows with component_id, the smallest doc_id that links reach; `tables` are the bands if none are given."""
     names = [c for c in prints.columns if c != "doc_id"]
-    distinct, _ = common.cut(prints.groupBy(*names).agg(F.min("doc_id").alias("node")).select("node", *names), "prints")
-    found = connected(link(distinct, bands, radius, shard_nodes))
-    named = distinct.join(found, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, names)
+    # A node is a fingerprint, whoever has it.
+    node = F.col("f0") if len(names) == 1 else F.xxhash64(*names)
+    distinct, _ = common.cut(prints.groupBy(*names).agg(F.min("doc_id").alias("least")).select(node.alias("node"), *names, "least"), "prints")
+    found = connected(link(distinct.select("node", *names), bands or tables(len(names), radius, distinct.count()), radius, shard_nodes))
+    named = distinct.join(found, "node", "left").select(*names, "least", F.coalesce("component", "node").alias("home"))
+    least = named.groupBy("home").agg(F.min("least").alias("component_id"))
+    return prints.join(named.join(least, "home").select(*names, "component_id"), names)
 
 
 # -- near copies by exact similarity ----------------------------------------
@@ -277,18 +287,18 @@ def band_keys(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def set_prints(documents: DataFrame, words: int, lanes: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, node, f0, ..., keys): the hash of the set of shingles, its fingerprint and its band keys."""
+    """(doc_id, key, node, f0, ..., keys): a hash of the text, that of the set of shingles, its fingerprint and its band keys."""
     names = [f"f{i}" for i in range(lanes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, values in common.chunks(batches, "text", "doc_id"):
+        for ids, key, values in common.chunks(batches, "text", "doc_id", "key"):
             sets = [shingle_set(v, words) for v in values]
             prints = np.array([simhash(s, lanes) for s, _ in sets], np.uint64).reshape(-1, lanes).view(np.int64)
             keys = pa.array([band_keys(s, bands, rows) for s, _ in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([n for _, n in sets], pa.int64()), *(pa.array(prints[:, i]) for i in range(lanes)), keys], ["doc_id", "node", *names, "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(key, pa.int64()), pa.array([n for _, n in sets], pa.int64()), *(pa.array(prints[:, i]) for i in range(lanes)), keys], ["doc_id", "key", "node", *names, "keys"])
 
-    schema = "doc_id long, node long, " + ", ".join(f"{c} long" for c in names) + ", keys array<long>"
-    return common.as_table(documents, "doc_id", "text").mapInArrow(run, schema)
+    schema = "doc_id long, key long, node long, " + ", ".join(f"{c} long" for c in names) + ", keys array<long>"
+    return common.as_table(documents, "doc_id", "text").withColumn("key", F.xxhash64("text")).mapInArrow(run, schema)
 
 
 def shingle_sets(documents: DataFrame, words: int) -> DataFrame:
@@ -315,7 +325,7 @@ def similar(pairs: DataFrame, documents: DataFrame, distinct: DataFrame, words:
 
 
 def near_copies(documents: DataFrame, words: int, lanes: int, radius: int, bands: int, rows: int, percent: int = 80, shard_nodes: int = 1024) -> DataFrame:
-    """(doc_id, component_id) of documents with a doc_id: classes of texts linked by a similarity of `percent`, named by their smallest doc_id.
+    """(doc_id, key, home, component_id) of documents with a doc_id: classes (`home`) of texts (`key`, their xxhash64) linked by a similarity of `percent`, named by their smallest doc_id.
 
     Buckets are bands of minima, the BK-trees' radius narrows them, and the shingles themselves decide. First each node
     is tried with the nearest before it, which joins most copies; then all pairs that are still of two classes.
@@ -352,10 +362,10 @@ def near_copies(documents: DataFrame, words: int, lanes: int, radius: int, bands
     classes = connected(links.union(more))
     named = distinct.join(classes, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("home"))
     least = named.groupBy("home").agg(F.min("doc_id").alias("component_id"))
-    return prints.select("doc_id", "node").join(named.select("node", "home"), "node").join(least, "home").select("doc_id", "component_id")
+    return prints.select("doc_id", "key", "node").join(named.select("node", "home"), "node").join(least, "home").select("doc_id", "key", "home", "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints, _ = common.cut(fingerprints(common.read(spark, sf_dir, "documents"), words=3), "fingerprints")
-    found = classes(prints, blocks(1, 4), radius=3)
+    found = classes(prints, radius=3)
     return found.select("doc_id", common.unsigned_hex(F.col("f0")).alias("fingerprint"), "component_id")

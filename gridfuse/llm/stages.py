@@ -27,11 +27,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document of the smallest doc_id stays, once."""
-    stays = simhash.near_copies(docs, WORDS, LANES, RADIUS, BANDS, ROWS).filter("doc_id = component_id").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    known = docs.filter("doc_id IS NOT NULL").join(stays, "doc_id", "left_semi").withColumn("_first", first).filter("_first = 1").drop("_first")
-    return known.select(docs.columns).union(docs.filter("doc_id IS NULL"))
+    """Of each class of near duplicates the text of the smallest doc_id stays, once; two unlike texts of one doc_id are two documents."""
+    classes = simhash.near_copies(docs, WORDS, LANES, RADIUS, BANDS, ROWS)
+    stays = classes.groupBy("home").agg(F.min(F.struct("doc_id", "key")).alias("one")).select("one.*")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("key"))
+    known = rows.filter("doc_id IS NOT NULL").join(stays, ["doc_id", "key"], "left_semi")
+    # Rows with one doc_id and text may differ in other columns; a hash of these picks one.
+    others = [F.xxhash64(F.to_json(F.struct(F.col(f"row.`{c}`")))) for c in docs.columns if c not in ("doc_id", "text")]
+    first = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy(F.hash(*others) if others else F.lit(0)))
+    return known.withColumn("first", first).filter("first = 1").select("row.*").union(docs.filter("doc_id IS NULL"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

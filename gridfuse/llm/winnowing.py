@@ -5,10 +5,9 @@ equal windows keep equal hashes, so a document window can equal a benchmark
 window only if its kept hash is among the benchmark's: every shared span of L words is found.
 Those hashes go to the tasks in a Bloom filter of a fixed number of bits;
 candidates that pass are joined with the benchmark's windows on the hash of
-the whole window, which settles them, and hits that overlap extend each other to spans.
+the whole window and its words, which settles them, and hits that overlap extend each other to spans.
 
-Items of fewer than `window` words are one window of their own length. Hashes
-have 64 bits; equal ones are taken as equal words.
+Items of fewer than `window` words are one window of their own length.
 
 Defined results: null or word-less text has no words and is never hit; an item
 without words has no window; items with a null item_id cause hits but are not
@@ -39,6 +38,7 @@ class Words:
     def __init__(self, values: list[bytes]):
         data = bytes_np.LOWER[np.frombuffer(b" ".join(values) + b" ", np.uint8)]
         start, end = bytes_np.word_spans(data, NO_WORD)
+        self.data, self.start, self.end = data, start, end
         ends = np.cumsum(np.fromiter(map(len, values), np.int64, len(values)) + 1)
         self.before = np.searchsorted(start, np.concatenate(([0], ends)))
         self.n = np.diff(self.before)
@@ -57,9 +57,13 @@ class Words:
     def hashes(self, at: np.ndarray, length: int) -> np.ndarray:
         return bytes_np.span_hash(self.prefix, at, at + length)
 
+    def strings(self, at: np.ndarray, length: int) -> list[str]:
+        """The words of each window, with one space between."""
+        return [b" ".join(self.data[self.start[k] : self.end[k]].tobytes() for k in range(i, i + length)).decode() for i in at.tolist()]
+
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, length, kept, h): every window of every item."""
+    """(item_id, length, kept, h, words): every window of every item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, values in common.chunks(batches, "text", "item_id"):
@@ -69,11 +73,11 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                 whole = (words.n[words.row[at]] == length) | (length == window)
                 at, kept = at[whole], kept[whole]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids).take(pa.array(words.row[at])).cast(pa.string()), pa.array(np.full(len(at), length, np.int32)), pa.array(kept.view(np.int64)), pa.array(words.hashes(at, length).view(np.int64))],
-                    ["item_id", "length", "kept", "h"],
+                    [pa.array(ids).take(pa.array(words.row[at])).cast(pa.string()), pa.array(np.full(len(at), length, np.int32)), pa.array(kept.view(np.int64)), pa.array(words.hashes(at, length).view(np.int64)), pa.array(words.strings(at, length), pa.string())],
+                    ["item_id", "length", "kept", "h", "words"],
                 )
 
-    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(run, "item_id string, length int, kept long, h long")
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(run, "item_id string, length int, kept long, h long, words string")
 
 
 def kept_filter(windows: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -106,18 +110,18 @@ def candidates(documents: DataFrame, lengths: list[int], filter_bytes: np.ndarra
             for length in lengths:
                 at, kept = words.windows(length)
                 at = at[in_filter(sent.value, kept)]
-                found.append((at, np.full(len(at), length, np.int32), words.hashes(at, length).view(np.int64)))
-            at, length, h = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
+                found.append((at, np.full(len(at), length, np.int32), words.hashes(at, length).view(np.int64), np.array(words.strings(at, length), object)))
+            at, length, h, strings = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, object))
             order = np.argsort(words.row[at], kind="stable")
-            at, length, h = at[order], length[order], h[order]
+            at, length, h, strings = at[order], length[order], h[order], strings[order]
             row = words.row[at]
             offsets = np.searchsorted(row, np.arange(len(values) + 1)).astype(np.int32)
-            spots = pa.StructArray.from_arrays([pa.array((at - words.before[row]).astype(np.int32)), pa.array(length), pa.array(h)], ["pos", "length", "h"])
+            spots = pa.StructArray.from_arrays([pa.array((at - words.before[row]).astype(np.int32)), pa.array(length), pa.array(h), pa.array(strings, pa.string())], ["pos", "length", "h", "words"])
             rows = pa.array([f"{task}-{number + i}" for i in range(len(values))])
             number += len(values)
             yield pa.RecordBatch.from_arrays([rows, pa.array(ids, pa.int64()), pa.array(words.n), pa.ListArray.from_arrays(pa.array(offsets), spots)], ["row", "doc_id", "n_words", "spots"])
 
-    return common.as_table(documents, "doc_id", "text").mapInArrow(run, "row string, doc_id long, n_words long, spots array<struct<pos:int,length:int,h:long>>")
+    return common.as_table(documents, "doc_id", "text").mapInArrow(run, "row string, doc_id long, n_words long, spots array<struct<pos:int,length:int,h:long,words:string>>")
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -126,8 +130,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     lengths = sorted(r.length for r in windows.select("length").distinct().collect())
     base, _ = common.cut(candidates(documents, lengths, kept_filter(windows, filter_bits)), "candidates")
     spots = base.filter("size(spots) > 0").select("row", F.inline("spots"))
-    items = windows.groupBy("length", "h").agg(F.collect_set("item_id").alias("items"))
-    found = spots.join(items, ["length", "h"]).groupBy("row").agg(
+    items = windows.groupBy("length", "h", "words").agg(F.collect_set("item_id").alias("items"))
+    found = spots.join(items, ["length", "h", "words"]).groupBy("row").agg(
         F.sort_array(F.collect_set(F.struct("pos", F.expr("pos + length AS stop")))).alias("hits"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
     none = F.expr("cast(array() as array<struct<pos:int,stop:int>>)")

@@ -66,7 +66,7 @@ def test_word_encoder_equals_library():
 
 
 def test_simhash_components(spark, docs, empty):
-    found = simhash.classes(simhash.fingerprints(docs), simhash.blocks(1, 4), 3, shard_nodes=5).toPandas()
+    found = simhash.classes(simhash.fingerprints(docs), 3, shard_nodes=5).toPandas()
     prints = found.f0.to_numpy().view(np.uint64)
     label = np.arange(len(prints))
     for i in range(len(prints)):
@@ -74,7 +74,24 @@ def test_simhash_components(spark, docs, empty):
         simhash.unite(label, np.full(len(near), i), near)
     for k in np.unique(label):
         assert set(found.component_id[label == k]) == {found.doc_id[label == k].min()} or found.doc_id[label == k].isna().all()
-    assert simhash.classes(simhash.fingerprints(empty), simhash.blocks(1, 4), 3).count() == 0
+    assert simhash.classes(simhash.fingerprints(empty), 3).count() == 0
+
+
+def test_simhash_null_ids_link_and_repeated_ids_tie_nothing(spark):
+    """Fingerprints 0, 7 and 63: the middle one, under a null id, links the others; the id 4 has two far ones."""
+    rows = [(5, 0), (None, 7), (9, 63), (4, 255 << 40), (4, -1), (3, (255 << 40) + 1), (20, -4), (None, 0x5555)]
+    found = simhash.classes(spark.createDataFrame(rows, "doc_id long, f0 long"), 3).collect()
+    assert {(r.doc_id, r.f0): r.component_id for r in found} == {(5, 0): 5, (None, 7): 5, (9, 63): 5, (4, 255 << 40): 3, (4, -1): 4, (3, (255 << 40) + 1): 3, (20, -4): 4, (None, 0x5555): None}
+
+
+def test_simhash_tables_keep_every_link():
+    rng = np.random.default_rng(4)
+    for n, count, width in ((1000, 4, 16), (1 << 30, 10, 24), (1 << 40, 20, 30), (1 << 60, 35, 36)):
+        bands = simhash.tables(1, 3, n)
+        assert len(bands) == count and all(len(b) >= width for b in bands)
+        for _ in range(200):
+            flipped = rng.choice(64, 3, replace=False)
+            assert any(not np.isin(flipped, b).any() for b in bands)
 
 
 def test_forest_finds_all_within_radius():
@@ -177,18 +194,29 @@ def test_best_boundaries_and_batches(spark):
     assert (rows.groupby(["bucket", "batch"]).bound.sum() <= 128).all()
 
 
-def test_language_model_counts(docs, empty):
+@pytest.mark.parametrize("max_bits", [1 << 28, 1 << 18])
+def test_language_model_counts(docs, empty, max_bits):
+    """Every contract column against exact counts; the score does not depend on how much of the filter is broadcast."""
     import zlib
 
-    rows = language_model.score(docs, heavy=20).collect()
+    rows = language_model.score(docs, heavy=20, max_bits=max_bits, entry_bits=2000, shard_pairs=500).collect()
     word = re.compile(rb"[^\x20\x09-\x0D]+")
     tokens = [word.findall((r.text or "").encode().lower()) + [b"\0"] for r in docs.collect()]
-    ids = [r.doc_id for r in docs.collect()]
-    counts = Counter(w for t, i in zip(tokens, ids, strict=True) if i is None or zlib.crc32(str(i).encode()) % 7 != 2 for w in t)
+    held = [r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 == 2 for r in docs.collect()]
+    train = [t for t, h in zip(tokens, held, strict=True) if not h]
+    counts, pairs = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(t, t[1:]))
     total, kinds = sum(counts.values()), len(counts)
-    expected = sorted(round(float(sum(np.log10((counts[w] + 1) / (total + kinds + 1)) for w in t)), 6) for t in tokens)
-    assert sorted(round(r.base_score, 6) for r in rows) == expected
-    assert all(r.train_tokens == total and np.isfinite(r.score) for r in rows)
+    q = lambda c: 0 if c == 0 else 1 if c == 1 else 1.5 * 2 ** (c.bit_length() - 1)
+
+    def score(t):
+        p = [0.7 * (q(counts[w]) + 1) / (total + kinds + 1) + (0.3 * min(1, q(pairs[v, w]) / max(1, q(counts[v]))) if v else 0.3 * (q(counts[w]) + 1) / (total + kinds + 1)) for v, w in zip([None, *t], t)]
+        return float(np.log10(p).sum())
+
+    base = lambda t: float(sum(np.log10((counts[w] + 1) / (total + kinds + 1)) for w in t))
+    expected = sorted((h, len(t), sum(counts[w] > 0 for w in t), round(base(t), 6), score(t)) for t, h in zip(tokens, held, strict=True))
+    found = sorted((r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6), r.score) for r in rows)
+    assert [r[:4] for r in found] == [r[:4] for r in expected] and all(r.train_tokens == total for r in rows)
+    assert np.allclose([r[4] for r in found], [r[4] for r in expected], rtol=1e-9)
     assert language_model.score(empty).count() == 0
 
 
