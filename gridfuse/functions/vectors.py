@@ -30,9 +30,28 @@ def norm(a) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def let(value, body) -> Column:
+    """`body` of a value that is computed once, however often `body` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def col(a) -> Column:
+    return F.col(a) if isinstance(a, str) else a
+
+
 def unit(a, floor: float = 1e-8) -> Column:
     """a over its length; shorter than `floor` stays as it is."""
-    return F.transform(F.array(F.struct(F.col(a).alias("a"), norm(a).alias("n"))), lambda s: F.transform(s.a, lambda x: x / F.when(s.n < floor, 1.0).otherwise(s.n)))[0]
+    return let(col(a), lambda v: let(norm(v), lambda n: F.transform(v, lambda x: x / F.when(n < floor, 1.0).otherwise(n))))
+
+
+def unit_strict(a, floor: float = 1e-12) -> Column:
+    """a over its length where the squared length is over `floor`, else as it is."""
+    return let(col(a), lambda v: let(dot(v, v), lambda q: F.when(q > floor, F.transform(v, lambda x: x / F.sqrt(q))).otherwise(v)))
+
+
+def deviation(a) -> Column:
+    """Sample standard deviation; null for one value."""
+    return let(col(a), lambda v: let(mean(v), lambda m: F.sqrt(F.aggregate(v, F.lit(0.0), lambda q, x: q + (x - m) * (x - m)) / F.nullif(F.size(v) - 1, F.lit(0)))))
 
 
 def heat(sq, sigma: float) -> Column:
@@ -45,6 +64,35 @@ def quantise_unit(a) -> Column:
     return F.transform(a, lambda x: F.round(F.least(F.greatest(x, F.lit(-1.0)), F.lit(1.0)) * 127).cast("int"))
 
 
+def dot_int8(a, b) -> Column:
+    """Product of two vectors that `quantise_unit` made, on the scale of the unit vectors."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0), lambda s, x: s + x) / (127.0 * 127.0)
+
+
+def cosine(a, b, floor: float = 1e-12) -> Column:
+    return dot(a, b) / F.greatest(norm(a) * norm(b), F.lit(floor))
+
+
+def repaired(a, key, seed: int = 1, floor: float = 1e-9, spread: float = 0.01) -> Column:
+    """A series whose deviation is under `floor` gives way to noise of deviation `spread`, made from a hash of `key`."""
+
+    def noise(i) -> Column:
+        u, v = (F.shiftrightunsigned(F.xxhash64(key, i, F.lit(2 * seed + j)), 11) / 2.0**53 for j in (0, 1))
+        return F.sqrt(-2 * F.log1p(-u)) * F.cos(2 * F.pi() * v) * spread
+
+    return let(col(a), lambda v: F.when(F.coalesce(deviation(v), F.lit(0.0)) < floor, F.transform(v, lambda x, i: noise(i))).otherwise(v))
+
+
+def seed_cost(ts, feat, gap, alpha: float, compactness: float, euclid: bool = False) -> Column:
+    """Price of a voxel at distance `gap` of a growing region: alpha * (1 - cosine, or the distance) + (1 - alpha) * gap / compactness."""
+    return alpha * (F.sqrt(sq_distance(ts, feat)) if euclid else 1 - cosine(ts, feat)) + (1 - alpha) * gap / compactness
+
+
+def region_distance(ts, feat, gap2, s: float, compactness: float) -> Column:
+    """Squared offset over s plus squared feature difference over `compactness`."""
+    return gap2 / s + sq_distance(ts, feat) / compactness
+
+
 def quantise_weight(d) -> Column:
     """A weight of 0..2 in 16 bits."""
     return F.floor(F.least(F.greatest(d, F.lit(0.0)), F.lit(2.0)) * 32767.5).cast("int")

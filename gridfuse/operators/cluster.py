@@ -7,7 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridfuse.operators import graph, groups, spatial
+from gridfuse.functions import vectors as V
+from gridfuse.operators import graph, groups, series, spatial
 
 
 def grid_labels(voxels: DataFrame, k: int) -> DataFrame:
@@ -20,48 +21,56 @@ def grid_labels(voxels: DataFrame, k: int) -> DataFrame:
     return groups.dense(voxels.select("vid", key.alias("b")).join(named, "b").select("vid", "cid"))
 
 
-def slic(voxels: DataFrame, k: int, weight: float = 1.0, most: int = 10) -> DataFrame:
-    """(vid, cid): windowed assignment and means, until fewer than one voxel in a hundred moves."""
-    n = voxels.count()
-    step, labels = spatial.step_for(n, k), graph.saved(grid_labels(voxels, k))
+#: Scales of features: z-scores over time, length one, or as they are.
+NORMS = {"zscale": lambda: series.scaled("ts"), "l2": lambda: V.unit("ts"), "none": lambda: F.col("ts")}
+
+
+def slic(voxels: DataFrame, k: int, weight: float = 10.0, most: int = 10, norm: str = "zscale", components: int = 0, relocate: int = 0, preserve_k: bool = False, connected: bool = True) -> DataFrame:
+    """(vid, cid): windowed assignment and means, until fewer than one voxel in a hundred moves.
+
+    Seeds are spaced Poisson voxels topped up by the grid's, moved to the least gradient within `relocate` voxels; `components` > 0 projects the features
+    at random first; islands are handed over; with `preserve_k` labels that were lost come back as splits of the largest.
+    """
+    from gridfuse.operators import embed, exact, local, methods, seeds
+
+    if norm not in NORMS:
+        raise ValueError(f"norm must be one of {sorted(NORMS)}")
+    rows = voxels.select("vid", "x", "y", "z", NORMS[norm]().alias("ts"))
+    if components:
+        rows = rows.drop("ts").join(embed.random_projection(rows, methods.times(voxels), components), "vid")
+    rows = graph.saved(rows)
+    n = rows.count()
+    step = seeds.spacing(rows, k) or 1.0
+    first = graph.saved(seeds.poisson(rows, k, step))
+    starts = seeds.numbered(seeds.farthest(rows, first.select("vid"), k)) if first.count() < k else first
+    if relocate:
+        starts = seeds.relocated(starts, local.gradient(rows, "difference"), rows, relocate)
+    centers = starts.join(rows, "vid").select("cid", F.col("ts").alias("feat"), *[F.col(c).cast("double").alias(f"c{c}") for c in "xyz"])
+    labels = None
     for _ in range(most):
-        new = spatial.assign(voxels, groups.centers(voxels, labels), step, weight)
-        # A voxel with no center around keeps its label.
-        new = graph.saved(labels.withColumnRenamed("cid", "old").join(new, "vid", "left").select("vid", F.coalesce("cid", "old").alias("cid"), F.expr("coalesce(cid <> old, false)").alias("moved")))
-        moved = new.filter("moved").count()
-        labels = new.select("vid", "cid")
-        if moved * 100 < n:
-            break
-    return groups.dense(labels)
+        new = spatial.assign(rows, graph.saved(centers), step, weight)
+        if labels is None:
+            labels = graph.saved(new)
+        else:
+            new = graph.saved(local.kept_or(labels, new))
+            moved, labels = new.filter("moved").count(), new.select("vid", "cid")
+            if moved * 100 < n:
+                break
+        centers = groups.centers(rows, labels)
+    if connected:
+        labels = graph.saved(local.islands(labels, spatial.grid_edges(rows, 26)))
+    return exact.exact_k(rows, labels, k) if preserve_k else groups.dense(labels)
 
 
-def rena(voxels: DataFrame, k: int, connectivity: int = 6) -> DataFrame:
-    """(vid, cid): nearest neighbours on the grid graph merge, round after round, down to about k clusters.
+def rena(voxels: DataFrame, k: int, connectivity: int = 26, exact_k: bool = True) -> DataFrame:
+    """(vid, cid): nearest neighbours among the `connectivity` nearest voxels merge, round after round, down to k clusters.
 
     The last round merges only as many of the closest pairs as lead to k.
     """
-    edges = graph.saved(spatial.grid_edges(voxels, connectivity))
-    labels = graph.saved(voxels.select("vid", F.col("vid").alias("cid")))
-    nodes = graph.saved(voxels.select("vid", "ts", F.lit(1).alias("one")))
-    left = nodes.count()
-    while left > k:
-        near = graph.saved(graph.nearest_edge(spatial.edge_distances(edges, nodes)))
-        if near.isEmpty():
-            break
-        merged = graph.components(nodes, near.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
-        after = merged.select("cid").distinct().count()
-        if after < k:
-            pairs = near.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "d").distinct().orderBy("d", "src", "dst").limit(left - k)
-            merged = graph.components(nodes, pairs.select("src", "dst"))
-            after = merged.select("cid").distinct().count()
-        labels = graph.saved(labels.join(merged.select(F.col("vid").alias("cid"), F.col("cid").alias("new")), "cid").select("vid", F.col("new").alias("cid")))
-        members = nodes.join(merged, "vid")
-        feats = members.select("cid", F.posexplode("ts").alias("t", "v")).groupBy("cid", "t").agg(F.avg("v").alias("v"))
-        nodes = graph.saved(feats.groupBy("cid").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "v"))), lambda s: s.v).alias("ts")).select(F.col("cid").alias("vid"), "ts", F.lit(1).alias("one")))
-        edges = graph.saved(graph.contract(edges, merged))
-        if after == left:
-            break
-        left = after
+    from gridfuse.operators import merge  # it builds on this module's neighbours
+
+    edges = spatial.knn_edges(voxels, connectivity).withColumn("w", F.lit(0.0))
+    labels, _, _ = merge.coarsen(merge.leaves(voxels), edges, k, exact=exact_k, weighted=False)
     return groups.dense(labels.withColumn("cid", F.col("cid") + 1))
 
 

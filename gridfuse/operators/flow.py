@@ -14,6 +14,12 @@ def normalised(m: DataFrame) -> DataFrame:
     return m.join(sums, "col").select("row", "col", (F.col("x") / F.col("s")).alias("x"))
 
 
+def with_loops(m: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The matrix with a loop of 1 for each node (vid) whose column is empty."""
+    lone = nodes.select(F.col("vid").alias("col")).join(m.select("col").distinct(), "col", "left_anti")
+    return m.select("row", "col", "x").union(lone.select(F.col("col").alias("row"), "col", F.lit(1.0).alias("x")))
+
+
 def pruned(m: DataFrame, most: int, least: float) -> DataFrame:
     """The `most` largest entries over `least` of each column; ties go to the smaller row."""
     w = Window.partitionBy("col").orderBy(F.desc("x"), "row")
@@ -48,7 +54,7 @@ def markov(nodes: DataFrame, edges: DataFrame, inflation: float = 1.6, most: int
         raise ValueError("inflation must be over 1")
     m = graph.saved(from_edges(nodes, edges))
     for _ in range(rounds):
-        new = graph.saved(normalised(pruned(inflated(product(m, m).filter(F.col("x") > least), inflation), most, least)))
+        new = graph.saved(normalised(with_loops(pruned(inflated(product(m, m).filter(F.col("x") > least), inflation), most, least), nodes)))
         change = new.join(m.withColumnRenamed("x", "y"), ["row", "col"], "full").agg(F.max(F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0))))).first()[0]
         m = new
         if (change or 0.0) < tol:

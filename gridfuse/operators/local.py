@@ -27,10 +27,50 @@ def slice_boundary(voxels: DataFrame, labels: DataFrame) -> DataFrame:
     return at.join(same, "vid", "left").select("vid", F.when(inner, 8 - F.coalesce("same", F.lit(0))).otherwise(0).cast("long").alias("score"))
 
 
+def boundary_flag(voxels: DataFrame, labels: DataFrame) -> DataFrame:
+    """(vid, edge): whether a neighbour in the slice has another label."""
+    return slice_boundary(voxels, labels).select("vid", (F.col("score") > 0).alias("edge"))
+
+
 def functional_gradient(voxels: DataFrame, near: DataFrame) -> DataFrame:
-    """(vid, g): one less the mean product of unit features with the neighbours."""
-    units = voxels.select("vid", V.unit("ts").alias("ts"))
-    return spatial.with_features(near.select("src", "dst"), units).groupBy(F.col("src").alias("vid")).agg((1 - F.avg(V.dot("a", "b"))).alias("g"))
+    """(vid, g): one less the mean product of unit features with the neighbours; of single samples the mean squared difference.
+
+    A voxel without neighbours has 1, or 0 for single samples.
+    """
+    units = voxels.select("vid", F.when(F.size("ts") > 1, V.unit("ts")).otherwise(F.col("ts")).alias("ts"))
+    price = F.when(F.size("a") > 1, 1 - V.dot("a", "b")).otherwise(V.sq_distance("a", "b"))
+    found = spatial.with_features(near.select("src", "dst"), units).groupBy(F.col("src").alias("vid")).agg(F.avg(price).alias("g"))
+    return voxels.select("vid", F.size("ts").alias("n")).join(found, "vid", "left").select("vid", F.coalesce("g", F.when(F.col("n") > 1, 1.0).otherwise(0.0)).alias("g"))
+
+
+def graph_gradient(rows: DataFrame, edges: DataFrame, value: str, sigma: float = 0.5) -> DataFrame:
+    """(vid, g): how far a value, smoothed once over the neighbours by heat weights that sum to 1, is from its neighbours' sum, |sum w (s - s')|.
+
+    `edges` (src, dst) are half of the neighbour pairs; weights are exp(-gap**2 / (2 sigma**2)) of the places.
+    """
+    at = rows.select(F.col("vid").alias("src"), F.struct("x", "y", "z").alias("a"))
+    both = spatial.both_ways(edges.select("src", "dst")).join(at, "src").join(at.select(F.col("src").alias("dst"), F.col("a").alias("b")), "dst")
+    gap = sum((F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}")) for c in "xyz")
+    weights = both.select("src", "dst", V.heat(gap, sigma).alias("w"))
+    seen = weights.join(rows.select(F.col("vid").alias("dst"), F.col(value).alias("v")), "dst").groupBy("src").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("s"))
+    smooth = rows.select("vid", F.col(value).alias("v")).join(seen.withColumnRenamed("src", "vid"), "vid", "left").select("vid", F.coalesce("s", "v").alias("s"))
+    pairs = weights.join(smooth.withColumnRenamed("vid", "src"), "src").join(smooth.select(F.col("vid").alias("dst"), F.col("s").alias("t")), "dst")
+    lap = pairs.groupBy(F.col("src").alias("vid")).agg(F.abs(F.sum(F.col("w") * (F.col("s") - F.col("t")))).alias("g"))
+    return rows.select("vid").join(lap, "vid", "left").select("vid", F.coalesce("g", F.lit(0.0)).alias("g"))
+
+
+def gradient(voxels: DataFrame, method: str = "functional") -> DataFrame:
+    """(vid, g) by `functional` (over the 26 neighbours), `product`, `difference` or `graph` (of the mean of each series)."""
+    if method == "functional":
+        return functional_gradient(voxels, spatial.both_ways(spatial.grid_edges(voxels, 26)))
+    if method == "product":
+        return product_gradient(voxels)
+    means = voxels.select("vid", "x", "y", "z", V.mean("ts").alias("v"))
+    if method == "difference":
+        return difference_gradient(means, "v")
+    if method == "graph":
+        return graph_gradient(means, spatial.grid_edges(voxels, 26), "v")
+    raise ValueError("method must be functional, product, difference or graph")
 
 
 def product_gradient(voxels: DataFrame) -> DataFrame:
@@ -74,6 +114,67 @@ def best(voxels: DataFrame, asked: DataFrame, centers: DataFrame, score: Column)
     return rows.groupBy("vid").agg(F.min(F.struct((-score).alias("s"), F.col("cid"))).alias("m")).select("vid", F.col("m.cid").alias("cid"))
 
 
+def switched(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """(n): how many voxels have another label."""
+    return kept_or(labels, new).agg(F.count_if("moved").alias("n"))
+
+
+def nearest_center(voxels: DataFrame, centers: DataFrame, size: float, cost: Column) -> DataFrame:
+    """(vid, cid): the center of least cost in the 27 bins of side `size` around a voxel; of all centers where those hold none.
+
+    Ids are joined first and features come to the pairs after; centers are as many as clusters.
+    """
+    cell = lambda c: F.floor(F.col(c) / size).cast("long")
+    moves = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(o, "ijk", strict=True)]) for o in [*spatial.offsets(26), (0, 0, 0)]]))
+    spread = centers.withColumn("o", moves).select("cid", *[(cell(f"c{c}") + F.col(f"o.{n}")).alias(n) for c, n in zip("xyz", "ijk", strict=True)])
+    points = voxels.select("vid", *[cell(c).alias(n) for c, n in zip("xyz", "ijk", strict=True)])
+    pairs = points.join(spread, list("ijk")).select("vid", "cid")
+    lone = points.join(pairs.select("vid").distinct(), "vid", "left_anti").select("vid")
+    # As many pairs a far voxel as there are clusters.
+    pairs = pairs.union(lone.crossJoin(F.broadcast(centers.select("cid"))))
+    rows = pairs.join(centers, "cid").join(voxels.select("vid", "x", "y", "z", "ts"), "vid")
+    return rows.groupBy("vid").agg(F.min(F.struct(cost.alias("s"), "cid")).alias("m")).select("vid", F.col("m.cid").alias("cid"))
+
+
+def relaxed(codes: DataFrame, carried: DataFrame, centers: DataFrame, stride: int, price: Column) -> DataFrame:
+    """(vid, cid): the seed of least price among those that a voxel and its 26 neighbours at a stride carry.
+
+    codes: (vid, x, y, z, h), carried: (vid, cid), centers: (cid, cx, cy, cz, g).
+    """
+    o = F.explode(F.array(*[F.struct(*[F.lit(d * stride).alias(n) for d, n in zip(m, ("dx", "dy", "dz"), strict=True)]) for m in [(0, 0, 0), *spatial.offsets(26)]]))
+    sent = carried.join(codes.select("vid", "x", "y", "z"), "vid").withColumn("o", o).select("cid", *[(F.col(c) + F.col(f"o.d{c}")).alias(c) for c in "xyz"])
+    met = sent.distinct().join(codes, ["x", "y", "z"]).join(centers, "cid")
+    return met.groupBy("vid").agg(F.min(F.struct(price.alias("d"), F.col("cid"))).alias("m")).select("vid", F.col("m.cid").alias("cid"))
+
+
+def strided(ts, stride: int) -> Column:
+    """Every stride-th sample."""
+    return F.filter(ts, lambda x, i: i % stride == 0)
+
+
+def exact_step(voxels: DataFrame, labels: DataFrame, edges: DataFrame | None, size: float, alpha: float, stride: int = 1) -> DataFrame:
+    """(vid, cid, moved): voxels (at the boundaries of `edges`, or all) take the center of least 1 - product + alpha * gap**2 / size**2 in the 27 bins around.
+
+    Features are demeaned unit series of every stride-th sample, centers their unit means.
+    """
+    from gridfuse.operators import series
+
+    units = voxels.select("vid", "x", "y", "z", V.unit(series.demeaned(strided("ts", stride))).alias("ts"))
+    centers = groups.unit_centers(units, labels)
+    asked = units if edges is None else units.join(spatial.boundary(labels, edges), "vid", "left_semi")
+    return kept_or(labels, nearest_center(asked, centers, size, 1 - V.dot("ts", "feat") + alpha * space() / (size * size)))
+
+
+def boundary_step(voxels: DataFrame, labels: DataFrame, edges: DataFrame, size: float, alpha: float, l2: float = 0.0, stride: int = 1) -> DataFrame:
+    """(vid, cid, moved): boundary voxels take the label around them of least (1 - correlation) + l2 * mean squared difference + alpha * gap**2 / size**2 against the mean series."""
+    rows = voxels.select("vid", "x", "y", "z", strided("ts", stride).alias("ts"))
+    centers = groups.centers(rows, labels)
+    edge = spatial.boundary(labels, edges)
+    asked = candidates(labels, spatial.both_ways(edges.select("src", "dst"))).join(edge, "vid", "left_semi")
+    price = 1 - F.coalesce(V.correlation("ts", "feat"), F.lit(0.0)) + l2 * V.sq_distance("ts", "feat") / F.size("ts") + alpha * space() / (size * size)
+    return kept_or(labels, best(rows, asked, centers, -price))
+
+
 def own_scores(voxels: DataFrame, labels: DataFrame, centers: DataFrame, sigma1: float, sigma2: float) -> DataFrame:
     """(vid, score): both kernels of a voxel and its own center, summed."""
     rows = voxels.select("vid", "x", "y", "z", "ts").join(labels, "vid").join(centers, "cid")
@@ -95,32 +196,33 @@ def kept_or(labels: DataFrame, new: DataFrame) -> DataFrame:
     return rows.select("vid", F.coalesce("cid", "old").alias("cid"), F.expr("coalesce(cid <> old, false)").alias("moved"))
 
 
-def refine_step(voxels: DataFrame, labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """(vid, cid, moved): voxels at a boundary take the label around them whose unit mean has the greatest product with theirs."""
+def refine_step(voxels: DataFrame, labels: DataFrame, edges: DataFrame, edge: DataFrame | None = None) -> DataFrame:
+    """(vid, cid, moved): voxels at a boundary (or in `edge`) take the label around them whose unit mean has the greatest product with theirs."""
     units = voxels.select("vid", "x", "y", "z", V.unit("ts").alias("ts"))
-    centers = groups.centers(units, labels).withColumn("feat", V.unit("feat"))
-    edge = spatial.boundary(labels, edges)
+    edge = spatial.boundary(labels, edges) if edge is None else edge
     asked = candidates(labels, spatial.both_ways(edges.select("src", "dst"))).join(edge, "vid", "left_semi")
-    return kept_or(labels, best(units, asked, centers, V.dot("ts", "feat")))
+    return kept_or(labels, best(units, asked, groups.unit_centers(units, labels), V.dot("ts", "feat")))
 
 
-def refine(voxels: DataFrame, labels: DataFrame, edges: DataFrame, most: int = 3) -> DataFrame:
+def refine(voxels: DataFrame, labels: DataFrame, edges: DataFrame, most: int = 3, fixed: bool = False) -> DataFrame:
+    """Steps until no voxel moves; with `fixed` the boundary of the start stays the set that may move."""
+    edge = graph.saved(spatial.boundary(labels, edges)) if fixed else None
     for _ in range(most):
-        new = graph.saved(refine_step(voxels, labels, edges))
+        new = graph.saved(refine_step(voxels, labels, edges, edge))
         labels = new.select("vid", "cid")
         if new.filter("moved").isEmpty():
             break
     return labels
 
 
-def islands(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """(vid, cid): of each label the largest connected part stays, other parts take the label that they touch most, in one simultaneous pass."""
+def islands(labels: DataFrame, edges: DataFrame, min_size: int = 1) -> DataFrame:
+    """(vid, cid): of each label the largest connected part stays if it has `min_size` voxels, other parts take the label that they touch most, in one simultaneous pass."""
     a = labels.select(F.col("vid").alias("src"), F.col("cid").alias("a"))
     marked = edges.select("src", "dst").join(a, "src").join(a.select(F.col("src").alias("dst"), F.col("a").alias("b")), "dst")
     parts = graph.components(labels.select("vid"), marked.filter("a = b").select("src", "dst")).withColumnRenamed("cid", "part")
     parts = graph.saved(parts.join(labels, "vid"))
     count = parts.groupBy("cid", "part").agg(F.count("*").alias("n"))
-    main = count.groupBy("cid").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("part"))).alias("m")).select(F.col("m.part").alias("part"))
+    main = count.filter(F.col("n") >= min_size).groupBy("cid").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("part"))).alias("m")).select(F.col("m.part").alias("part"))
     loose = parts.join(main, "part", "left_anti")
     touch = spatial.both_ways(edges.select("src", "dst")).join(loose.select(F.col("vid").alias("src"), "part", "cid"), "src").join(a.select(F.col("src").alias("dst"), F.col("a").alias("b")), "dst").filter("b <> cid")
     most = touch.groupBy("part", "b").agg(F.count("*").alias("n")).groupBy("part").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("b"))).alias("m")).select("part", F.col("m.b").alias("new"))

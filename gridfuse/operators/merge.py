@@ -24,19 +24,51 @@ def allowed(scale: float | None) -> Column:
     return F.least(*[F.col(f"{s}.inner") + scale / F.col(f"{s}.n") for s in "ab"]) >= F.col("d")
 
 
+def priced(nodes: DataFrame, edges: DataFrame, cost: str, scale: float | None = None) -> DataFrame:
+    """(src, dst, d): what each allowed merge costs."""
+    a = nodes.select(F.col("vid").alias("src"), F.struct("n", "ts", "inner").alias("a"))
+    rows = edges.join(a, "src").join(a.select(F.col("src").alias("dst"), F.col("a").alias("b")), "dst")
+    return rows.withColumn("d", COSTS[cost](F.col("a"), F.col("b"))).filter(allowed(scale)).select("src", "dst", "d")
+
+
+def united(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The nodes after dst of each pair (src, dst, d) went into src: sizes add up, means are weighted by size."""
+    gone = pairs.join(nodes.select(F.col("vid").alias("dst"), F.struct("n", "ts", "inner").alias("b")), "dst").select(F.col("src").alias("vid"), "b", "d")
+    kept = nodes.join(pairs.select(F.col("dst").alias("vid")), "vid", "left_anti").join(gone, "vid", "left")
+    # The sum of sizes has another name than its parts: inside a lambda, a name would mean the new column.
+    kept = kept.withColumns({"own": F.col("n"), "added": F.coalesce("b.n", F.lit(0))}).drop("n")
+    both = F.zip_with("ts", "b.ts", lambda x, y: (x * F.col("own") + y * F.col("added")) / (F.col("own") + F.col("added")))
+    return kept.select("vid", (F.col("own") + F.col("added")).alias("n"), F.coalesce(both, "ts").alias("ts"), F.greatest("inner", "b.inner", "d").alias("inner"))
+
+
+def rewired(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """Edges (src, dst, w) between renamed nodes (old, new), the lightest of each pair; nodes without a new name keep theirs."""
+    for side in ("src", "dst"):
+        edges = edges.join(names.withColumnRenamed("old", side), side, "left").withColumn(side, F.coalesce("new", side)).drop("new")
+    rows = edges.filter("src <> dst").groupBy(F.least("src", "dst").alias("s"), F.greatest("src", "dst").alias("t")).agg(F.min("w").alias("w"))
+    return rows.select(F.col("s").alias("src"), F.col("t").alias("dst"), "w")
+
+
+def followed(labels: DataFrame, steps: list[DataFrame]) -> DataFrame:
+    """Labels (vid, cid) after each table of new names (old, new) in turn."""
+    for i, names in enumerate(steps):
+        labels = labels.join(names.withColumnRenamed("old", "cid"), "cid", "left").select("vid", F.coalesce("new", "cid").alias("cid"))
+        labels = graph.saved(labels) if i % 8 == 7 else labels
+    return labels
+
+
 def agglomerate(nodes: DataFrame, edges: DataFrame, k: int, cost: str, scale: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Merges pairs of nodes that are each other's cheapest neighbour, down to `k` nodes or until no pair is left or allowed.
 
     nodes: (vid, n, ts, inner), edges: (src, dst, w). Returns (vid, cid), the nodes left and their edges. Means are weighted by size.
+    A round writes the pairs, the nodes and the edges; labels follow at the end.
     """
-    labels = graph.saved(nodes.select("vid", F.col("vid").alias("cid")))
+    labels, steps = nodes.select("vid", F.col("vid").alias("cid")), []
     nodes, edges = graph.saved(nodes), graph.saved(edges)
+    labels = graph.saved(labels)
     left = nodes.count()
     while left > k:
-        a = nodes.select(F.col("vid").alias("src"), F.struct("n", "ts", "inner").alias("a"))
-        rows = edges.join(a, "src").join(a.select(F.col("src").alias("dst"), F.col("a").alias("b")), "dst")
-        priced = rows.withColumn("d", COSTS[cost](F.col("a"), F.col("b"))).filter(allowed(scale)).select("src", "dst", "d")
-        near = graph.saved(graph.nearest_edge(priced))
+        near = graph.nearest_edge(priced(nodes, edges, cost, scale))
         back = near.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
         pairs = graph.saved(near.join(back, ["src", "dst"], "left_semi").filter("src < dst"))
         found = pairs.count()
@@ -45,42 +77,88 @@ def agglomerate(nodes: DataFrame, edges: DataFrame, k: int, cost: str, scale: fl
         if found > left - k:
             pairs = graph.saved(pairs.orderBy("d", "src", "dst").limit(left - k))
             found = left - k
-        gone = pairs.join(nodes.select(F.col("vid").alias("dst"), F.struct("n", "ts", "inner").alias("b")), "dst").select(F.col("src").alias("vid"), "b", "d")
-        kept = nodes.join(pairs.select(F.col("dst").alias("vid")), "vid", "left_anti").join(gone, "vid", "left")
-        both = F.zip_with("ts", "b.ts", lambda x, y: (x * F.col("n") + y * F.col("b.n")) / (F.col("n") + F.col("b.n")))
-        nodes = graph.saved(kept.select("vid", (F.col("n") + F.coalesce("b.n", F.lit(0))).alias("n"), F.coalesce(both, "ts").alias("ts"), F.greatest("inner", "b.inner", "d").alias("inner")))
-        name = pairs.select(F.col("dst").alias("old"), F.col("src").alias("new"))
-        for side in ("src", "dst"):
-            edges = edges.join(name.withColumnRenamed("old", side), side, "left").withColumn(side, F.coalesce("new", side)).drop("new")
-        edges = graph.saved(edges.filter("src <> dst").groupBy(F.least("src", "dst").alias("s"), F.greatest("src", "dst").alias("t")).agg(F.min("w").alias("w")).select(F.col("s").alias("src"), F.col("t").alias("dst"), "w"))
-        labels = graph.saved(labels.join(name.withColumnRenamed("old", "cid"), "cid", "left").select("vid", F.coalesce("new", "cid").alias("cid")))
+        names = pairs.select(F.col("dst").alias("old"), F.col("src").alias("new"))
+        steps.append(names)
         left -= found
-    return labels, nodes, edges
+        new_nodes, new_edges = graph.saved(united(nodes, pairs)), graph.saved(rewired(edges, names))
+        graph.discard(nodes, edges)
+        nodes, edges = new_nodes, new_edges
+    return graph.saved(followed(labels, steps)), nodes, edges
+
+
+def pooled(nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """(vid, n, ts, inner) of the parts (vid, cid) of nodes; means are weighted by size."""
+    rows = nodes.join(parts, "vid").select("cid", "n", F.posexplode("ts").alias("t", "v"))
+    sums = rows.groupBy("cid", "t").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v"), F.sum("n").alias("n"))
+    ordered = F.sort_array(F.collect_list(F.struct("t", "v")))
+    return sums.groupBy("cid").agg(F.first("n").alias("n"), F.transform(ordered, lambda s: s.v).alias("ts")).select(F.col("cid").alias("vid"), "n", "ts", F.lit(0.0).alias("inner"))
+
+
+def coarsen(nodes: DataFrame, edges: DataFrame, stop_at: int, image: DataFrame | None = None, weight: float = 0.0, exact: bool = False, weighted: bool = True, most: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nearest neighbours unite, round after round, until at most `stop_at` nodes are left.
+
+    With an `image` (vid, g), prices grow by `weight` times its difference. With `exact`, a round that would go below `stop_at` unites only
+    the closest pairs. Means are weighted by size, or plain means of the nodes of the round. Returns labels, nodes and edges.
+    """
+    labels, steps = graph.saved(nodes.select("vid", F.col("vid").alias("cid"))), []
+    nodes, edges = graph.saved(nodes), graph.saved(edges)
+    left = nodes.count()
+    for _ in range(most):
+        if left <= stop_at:
+            break
+        prices = priced(nodes, edges, "squared")
+        near = graph.saved(graph.nearest_edge(prices if image is None else graph.penalised(prices, image, weight)))
+        parts = graph.pointed(near, nodes)
+        after = parts.filter("vid = cid").count()
+        if exact and after < stop_at:
+            pairs = near.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "d").distinct().orderBy("d", "src", "dst").limit(left - stop_at)
+            both = spatial.both_ways(graph.saved(pairs).select("src", "dst"))
+            parts = graph.pointed(near.join(both, ["src", "dst"], "left_semi"), nodes)
+            after = parts.filter("vid = cid").count()
+        graph.discard(near)
+        if after == left:
+            break
+        names = parts.select(F.col("vid").alias("old"), F.col("cid").alias("new"))
+        steps.append(names)
+        if image is not None:
+            image = graph.saved(image.join(parts, "vid").join(nodes.select("vid", "n"), "vid").groupBy("cid").agg((F.sum(F.col("g") * F.col("n")) / F.sum("n")).alias("g")).withColumnRenamed("cid", "vid"))
+        pool = pooled(nodes if weighted else nodes.withColumn("n", F.lit(1).cast("long")), parts)
+        new_nodes, new_edges = graph.saved(pool), graph.saved(rewired(edges, names))
+        graph.discard(nodes, edges)
+        nodes, edges, left = new_nodes, new_edges, after
+    return graph.saved(followed(labels, steps)), nodes, edges
 
 
 def leaves(voxels: DataFrame) -> DataFrame:
     return voxels.select("vid", F.lit(1).cast("long").alias("n"), "ts", F.lit(0.0).alias("inner"))
 
 
-def grow(voxels: DataFrame, seeds: DataFrame, edges: DataFrame, cost: Column) -> DataFrame:
+def grow(voxels: DataFrame, seeds: DataFrame, edges: DataFrame, cost: Column, unit: bool = False) -> DataFrame:
     """(vid, cid): seeds (vid, cid) spread along edges; each round the voxels next to labelled ones take the neighbouring label
-    of least `cost` against its mean so far. Voxels that no seed reaches get no row."""
+    of least `cost` against its mean so far (scaled to length one with `unit`). Voxels that no seed reaches get no row.
+
+    A round looks at the neighbours of the voxels labelled in the one before only, and adds only those to the running sums.
+    """
     both = graph.saved(spatial.both_ways(edges.select("src", "dst")))
-    labels = graph.saved(seeds.select("vid", "cid"))
-    while True:
-        asked = both.join(labels.withColumnRenamed("vid", "dst"), "dst").select(F.col("src").alias("vid"), "cid").distinct().join(labels, "vid", "left_anti")
-        rows = asked.join(groups.centers(voxels, labels), "cid").join(voxels.select("vid", "x", "y", "z", "ts"), "vid")
-        new = graph.saved(rows.groupBy("vid").agg(F.min(F.struct(cost.alias("d"), F.col("cid"))).alias("m")).select("vid", F.col("m.cid").alias("cid")))
-        if new.isEmpty():
-            return labels
-        labels = graph.saved(labels.union(new))
-
-
-def seeds(voxels: DataFrame, k: int, gradient: DataFrame | None = None) -> DataFrame:
-    """(vid, cid): in each of about k cubes the voxel of least gradient, or the one nearest to the middle without gradients."""
-    side = max(1, round(spatial.step_for(voxels.count(), k)))
-    cube = F.struct(*[F.expr(f"{c} div {side}").alias(c) for c in "zyx"])
-    middle = sum((F.col(c) - F.expr(f"({c} div {side}) * {side}") - (side - 1) / 2) * (F.col(c) - F.expr(f"({c} div {side}) * {side}") - (side - 1) / 2) for c in "xyz")
-    rows = voxels.select("vid", "x", "y", "z") if gradient is None else voxels.select("vid", "x", "y", "z").join(gradient, "vid")
-    picked = rows.groupBy(cube.alias("b")).agg(F.min(F.struct((middle if gradient is None else F.col("g")).alias("g"), F.col("vid"))).alias("m"))
-    return groups.dense(picked.select(F.col("m.vid").alias("vid"), (F.col("m.vid") + 1).alias("cid")))
+    front = graph.saved(seeds.select("vid", "cid"))
+    labels, sums = front, None
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    while not front.isEmpty():
+        new = front.join(voxels.select("vid", "x", "y", "z", "ts"), "vid")
+        added = new.select("cid", F.posexplode("ts").alias("t", "v")).groupBy("cid", "t").agg(F.sum("v").alias("v")).groupBy("cid").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "v"))), lambda s: s.v).alias("ts"))
+        added = new.groupBy("cid").agg(F.count("*").alias("n"), *[F.sum(c).cast("double").alias(c) for c in "xyz"]).join(added, "cid")
+        if sums is not None:
+            more = added.select("cid", *[F.col(c).alias(f"_{c}") for c in ("n", "x", "y", "z", "ts")])
+            added = sums.join(more, "cid", "left").select("cid", *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in ("n", "x", "y", "z")], F.coalesce(plus("ts", "_ts"), "ts").alias("ts"))
+        new_sums = graph.saved(added)
+        graph.discard(sums)
+        sums = new_sums
+        feat = F.transform("ts", lambda v: v / F.col("n"))
+        centers = sums.select("cid", (V.unit(feat) if unit else feat).alias("feat"), *[(F.col(c) / F.col("n")).alias(f"c{c}") for c in "xyz"])
+        # Voxels that wait beside older labels were taken in their own round, so only the front has unlabelled neighbours.
+        asked = both.join(front.withColumnRenamed("vid", "dst"), "dst").select(F.col("src").alias("vid"), "cid").distinct().join(labels, "vid", "left_anti")
+        rows = asked.join(centers, "cid").join(voxels.select("vid", "x", "y", "z", "ts"), "vid")
+        front = graph.saved(rows.groupBy("vid").agg(F.min(F.struct(cost.alias("d"), F.col("cid"))).alias("m")).select("vid", F.col("m.cid").alias("cid")))
+        new_labels = graph.saved(labels.union(front))
+        labels = new_labels
+    return labels

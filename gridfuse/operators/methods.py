@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridfuse.functions import vectors as V
-from gridfuse.operators import cluster, embed, flow, graph, groups, local, merge, spatial
+from gridfuse.operators import cluster, embed, exact, flow, graph, groups, local, merge, seeds, series, spatial
 
 
 def times(voxels: DataFrame) -> int:
@@ -24,11 +24,12 @@ def with_ts(voxels: DataFrame, ts: DataFrame) -> DataFrame:
     return graph.saved(voxels.select("vid", "x", "y", "z").join(ts, "vid"))
 
 
-def supervoxels(voxels: DataFrame, k: int, alpha: float = 0.5, sigma1: float = 1.0, sigma2: float = 2.5, rounds: int = 10, tol: float = 0.001) -> DataFrame:
-    """Kernel scores against the centers around, until a share under `tol` of the voxels moves."""
+def supervoxels(voxels: DataFrame, k: int, alpha: float = 0.5, sigma1: float = 1.0, sigma2: float = 2.5, rounds: int = 10, tol: float = 0.001, start: DataFrame | None = None) -> DataFrame:
+    """Kernel scores of z-scored series against the centers around, from k-means of the places (or `start`), until a share under `tol` of the voxels moves."""
+    voxels = graph.saved(voxels.withColumn("ts", F.when(F.size("ts") > 1, series.scaled("ts")).otherwise(F.col("ts"))))
     n = voxels.count()
-    radius = 3 * 0.9 * spatial.step_for(n, k)
-    labels = graph.saved(cluster.grid_labels(voxels, k))
+    radius = (3 if k >= 20 else max(4, 3 + 10 / k)) * 0.9 * max(1.0, seeds.spacing(voxels, k))
+    labels = graph.saved(seeds.lloyd(voxels, seeds.even_starts(voxels, k), 5)[0]) if start is None else start
     for _ in range(rounds):
         found = local.assign_within(voxels, groups.centers(voxels, labels), radius, local.heat_score(alpha, sigma1, sigma2))
         new = graph.saved(local.kept_or(labels, found))
@@ -41,7 +42,10 @@ def supervoxels(voxels: DataFrame, k: int, alpha: float = 0.5, sigma1: float = 1
 def snic(voxels: DataFrame, k: int, compactness: float = 5.0) -> DataFrame:
     """Seeds grow over the 26 neighbours by |offset|**2 / step**2 + |feature difference|**2 / compactness."""
     step = 1.1 * spatial.step_for(voxels.count(), k)
-    return groups.dense(merge.grow(voxels, merge.seeds(voxels, k), spatial.grid_edges(voxels, 26), local.space() / (step * step) + V.sq_distance("ts", "feat") / compactness))
+    rows = graph.saved(voxels.withColumn("ts", series.scaled("ts")))
+    starts = graph.saved(seeds.initial(rows, k, "gradient", local.gradient(rows, "difference")))
+    # Voxels are z-scores while the centers have length one, so far features cost more than in the mean's own scale.
+    return groups.dense(merge.grow(rows, starts, spatial.grid_edges(rows, 26), V.region_distance("ts", "feat", local.space(), step * step, compactness), unit=True))
 
 
 def g3s(voxels: DataFrame, k: int, alpha: float = 0.5, components: int = 15, refinements: int = 3) -> DataFrame:
@@ -49,39 +53,48 @@ def g3s(voxels: DataFrame, k: int, alpha: float = 0.5, components: int = 15, ref
     rows = with_ts(voxels, embed.compressed(voxels, components))
     edges = graph.saved(spatial.grid_edges(rows, 26))
     gradient = local.functional_gradient(rows, spatial.both_ways(edges))
-    cosine = 1 - V.dot("ts", "feat") / F.greatest(V.norm(F.col("ts")) * V.norm(F.col("feat")), F.lit(1e-12))
-    cost = alpha * cosine + (1 - alpha) * F.sqrt(local.space()) / spatial.step_for(rows.count(), k)
-    return groups.dense(local.refine(rows, merge.grow(rows, merge.seeds(rows, k, gradient), edges, cost), edges, refinements))
+    cost = V.seed_cost("ts", "feat", F.sqrt(local.space()), alpha, math.sqrt(seeds.spacing(rows, k) ** 3))
+    starts = graph.saved(seeds.low_gradient(rows, gradient, k, 0.5, fill="index"))
+    return groups.dense(local.refine(rows, merge.grow(rows, starts, edges, cost), edges, refinements))
 
 
 def corr_slic(voxels: DataFrame, k: int, alpha: float = 0.1, dimensions: int = 16, basis: str = "hash", rounds: int = 6, connected: bool = True) -> DataFrame:
     """Windowed assignment of unit sketches: 1 - product + alpha * |offset|**2 / step**2; islands are handed over at the end."""
-    made = embed.count_sketch(voxels, dimensions) if basis == "hash" else embed.sketch(voxels, times(voxels), min(dimensions, times(voxels) - 1))
+    n_time = times(voxels)
+    made = embed.count_sketch(voxels, n_time, dimensions) if basis == "hash" else embed.cosine_embedding(voxels, n_time, min(dimensions, n_time - 1))
     rows = with_ts(voxels, made)
     n = rows.count()
-    step, labels = spatial.step_for(n, k), graph.saved(cluster.grid_labels(rows, k))
-    for _ in range(rounds):
-        centers = groups.centers(rows, labels).withColumn("feat", V.unit("feat"))
-        # Of unit vectors |a - b|**2 = 2 (1 - ab).
-        new = graph.saved(local.kept_or(labels, spatial.assign(rows, centers, step, math.sqrt(2 * alpha))))
+    step = spatial.step_for(n, k)
+    starts = seeds.axis_grid(rows, k).join(rows, "vid").select("cid", F.col("ts").alias("feat"), *[F.col(c).cast("double").alias(f"c{c}") for c in "xyz"])
+    price = 1 - V.dot("ts", "feat") + alpha * local.space() / (step * step)
+    labels = graph.saved(local.nearest_center(rows, graph.saved(starts), step, price))
+    for _ in range(rounds - 1):
+        new = graph.saved(local.kept_or(labels, local.nearest_center(rows, graph.saved(groups.unit_centers(rows, labels)), step, price)))
         labels = new.select("vid", "cid")
         if new.filter("moved").count() < 0.001 * n:
             break
-    return groups.dense(local.islands(labels, spatial.grid_edges(rows, 6)) if connected else labels)
+    return groups.dense(local.islands(labels, spatial.grid_edges(rows, 6), max(10, round(step**3 / 4))) if connected else labels)
 
 
-def brs_slic(voxels: DataFrame, k: int, alpha: float = 0.05, dimensions: int = 24, passes: int = 1) -> DataFrame:
-    """Coarse `corr_slic`, then passes at the boundaries on the exact series."""
-    edges = graph.saved(spatial.grid_edges(voxels, 6))
-    labels = local.refine(voxels, corr_slic(voxels, k, alpha, dimensions, rounds=2, connected=False), edges, passes)
-    return groups.dense(local.islands(labels, edges))
+def brs_slic(voxels: DataFrame, k: int, alpha: float = 0.05, dimensions: int = 24, passes: int = 1, l2: float = 0.0, global_passes: int = 0) -> DataFrame:
+    """Coarse `corr_slic`, then passes on the series themselves: at the boundaries with the labels around, and, if asked, of all voxels with the centers around."""
+    n_time = times(voxels)
+    edges, step, stride = graph.saved(spatial.grid_edges(voxels, 6)), spatial.step_for(voxels.count(), k), 2 if n_time >= 40 else 1
+    labels = graph.saved(corr_slic(voxels, k, alpha, dimensions, rounds=2, connected=False))
+    passed = [lambda at: local.boundary_step(voxels, at, edges, step, alpha, l2, stride)] * passes + [lambda at: local.exact_step(voxels, at, None, step, alpha, stride)] * global_passes
+    for one in passed:
+        new = graph.saved(one(labels))
+        labels = new.select("vid", "cid")
+        if new.filter("moved").isEmpty():
+            break
+    return groups.dense(local.islands(labels, edges, max(10, round(step**3 / 4))))
 
 
 def slice_msf(voxels: DataFrame, k: int, compactness: float = 2.0, r: int = 48) -> DataFrame:
     """A forest over cosine sketches that merges where an edge is no dearer than the parts' own plus a share of their size; then down to k."""
     n_time = times(voxels)
     rows = with_ts(voxels, embed.sketch(voxels, n_time, min(n_time - 1, r)))
-    edges = spatial.with_features(spatial.grid_edges(rows, 18), rows).select("src", "dst", (1 - V.dot("a", "b")).alias("w"))
+    edges = spatial.forward_edges(rows, 26)
     forest, nodes, left = merge.agglomerate(merge.leaves(rows), edges, k, "edge", 2.0 / (compactness + 1))
     named, _, _ = merge.agglomerate(nodes, left, k, "cosine")
     return groups.dense(renamed(forest, named))
@@ -92,10 +105,10 @@ def renamed(labels: DataFrame, names: DataFrame) -> DataFrame:
     return labels.join(names.select(F.col("vid").alias("cid"), F.col("cid").alias("new")), "cid").select("vid", (F.col("new") + 1).alias("cid"))
 
 
-def rena_plus(voxels: DataFrame, k: int, r: int = 2, connectivity: int = 26) -> DataFrame:
-    """Pairs that are nearest to each other merge down to r * k parts, then by Ward's cost to k."""
+def rena_plus(voxels: DataFrame, k: int, r: float = 2.0, connectivity: int = 26, image: DataFrame | None = None, penalty: float = 1.0) -> DataFrame:
+    """Nearest neighbours unite down to about r * k parts, an image (vid, g) making its edges dearer; then neighbours merge by Ward's cost to k."""
     edges = spatial.grid_edges(voxels, connectivity).withColumn("w", F.lit(0.0))
-    coarse, nodes, left = merge.agglomerate(merge.leaves(voxels), edges, r * k, "squared")
+    coarse, nodes, left = merge.coarsen(merge.leaves(voxels), edges, max(1, math.ceil(r * k)), image, penalty, exact=True)
     named, _, _ = merge.agglomerate(nodes, left, k, "ward")
     return groups.dense(renamed(coarse, named))
 
@@ -106,29 +119,28 @@ def flash3d(voxels: DataFrame, k: int, weight: float = 0.6, weight_t: float = 1.
     rows = graph.saved(voxels.select("vid", "x", "y", "z").join(embed.hash_bits(voxels, n_time, min(coefficients, n_time), bits), "vid"))
     s2 = spatial.step_for(rows.count(), k) ** 2
     side = max(v or 1 for v in rows.agg(*[F.max(c) - F.min(c) + 1 for c in "xyz"]).first())
-    at = merge.seeds(voxels, k)
-    moves = [(0, 0, 0), *spatial.offsets(26)]
+    at, majority = graph.saved(seeds.cell_members(voxels, k)), None
     for i in range(rounds):
-        centers = graph.saved(at.join(rows, "vid").select("cid", *[F.col(c).alias(f"c{c}") for c in "xyz"], F.col("h").alias("g")))
+        placed = at.join(rows, "vid").select("cid", *[F.col(c).alias(f"c{c}") for c in "xyz"], F.col("h").alias("g"))
+        if majority is not None:
+            placed = placed.join(majority, "cid").withColumn("g", F.col("major")).drop("major")
+        centers = graph.saved(placed)
         carried = graph.saved(at.select("vid", "cid"))
         price = weight * (1 + i / 2) * local.space() / s2 + weight_t * V.hamming(F.col("h"), F.col("g")) / bits
         stride = 2 ** math.ceil(math.log2(side)) if side > 1 else 1
         while stride >= 1:
-            o = F.explode(F.array(*[F.struct(*[F.lit(d * stride).alias(n) for d, n in zip(m, ("dx", "dy", "dz"), strict=True)]) for m in moves]))
-            sent = carried.join(rows.select("vid", "x", "y", "z"), "vid").withColumn("o", o).select("cid", *[(F.col(c) + F.col(f"o.d{c}")).alias(c) for c in "xyz"])
-            met = sent.distinct().join(rows, ["x", "y", "z"]).join(centers, "cid")
-            carried = graph.saved(met.groupBy("vid").agg(F.min(F.struct(price.alias("d"), F.col("cid"))).alias("m")).select("vid", F.col("m.cid").alias("cid")))
+            carried = graph.saved(local.relaxed(rows, carried, centers, stride, price))
             stride //= 2
-        # The next seeds are the members nearest to the middle of each part.
+        # The next seeds are the members nearest to the middle of each part, with the bits that most members have.
         middle = carried.join(rows, "vid").groupBy("cid").agg(*[F.avg(c).alias(f"c{c}") for c in "xyz"])
         at = graph.saved(carried.join(rows, "vid").join(middle, "cid").groupBy("cid").agg(F.min(F.struct(local.space().alias("d"), F.col("vid"))).alias("m")).select(F.col("m.vid").alias("vid"), "cid"))
+        majority = graph.saved(groups.bit_majority(rows.select("vid", "h"), carried).select("cid", F.col("h").alias("major")))
     return groups.dense(carried)
 
 
 def mcl(voxels: DataFrame, k: int, spatial_weight: float = 0.2, inflation: float = 1.6, connectivity: int = 6, rounds: int = 8) -> DataFrame:
     """Markov clustering of the grid graph; k sets how many entries a column keeps (16 to 64), not the number of clusters."""
-    edges = spatial.edge_similarity(spatial.grid_edges(voxels, connectivity), voxels)
-    edges = edges.withColumn("w", (1 - spatial_weight) * F.coalesce("w", F.lit(0.0)) + spatial_weight)
+    edges = spatial.weighted_graph(voxels, connectivity, spatial_weight)
     return groups.dense(flow.markov(voxels, edges, inflation, min(64, max(16, k)), rounds=rounds).withColumn("cid", F.col("cid") + 1))
 
 
@@ -182,15 +194,9 @@ def consensus(voxels: DataFrame, partitions: list[DataFrame], k: int) -> DataFra
     return groups.dense(named.withColumn("cid", F.col("cid") + 1))
 
 
-def meta(centers: DataFrame, k: int) -> DataFrame:
-    """(vid, cid): clusters of clusters, by Ward's cost over the pairs of the 8 centers nearest to each in space."""
-    places = centers.select(F.col("cid").cast("long").alias("vid"), *[F.col(f"c{c}").alias(c) for c in "xyz"])
-    reach = max(1.0, max((b or 0.0) for b in places.agg(*[F.max(c) - F.min(c) for c in "xyz"]).first()))
-    near = spatial.nearest(places, 8, math.ceil(reach))
-    edges = near.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct().withColumn("w", F.lit(0.0))
-    nodes = centers.select(F.col("cid").cast("long").alias("vid"), "n", F.col("feat").alias("ts"), F.lit(0.0).alias("inner"))
-    named, _, _ = merge.agglomerate(nodes, edges, k, "ward")
-    return groups.dense(named)
+def meta(centers: DataFrame, cuts: list[int] | None = None, distance: str = "correlation") -> DataFrame:
+    """(cid, k, meta): clusters of clusters, by Ward's linkage of the features of all centers."""
+    return exact.hierarchy(centers, cuts or exact.default_cuts(centers.count()), distance)
 
 
 METHODS = {"slic": cluster.slic, "rena": cluster.rena} | {f.__name__: f for f in (supervoxels, snic, g3s, corr_slic, brs_slic, slice_msf, rena_plus, flash3d, mcl, acsc, commute)}

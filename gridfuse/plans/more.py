@@ -65,14 +65,14 @@ def voted(s, d):
 QUERIES = {
     "heat_kernel": lambda s, d: rounded(heat(s, d), "heat", "normalised"),
     "own_scores": lambda s, d: rounded(local.own_scores(vox(s, d), labels(s, d), centers(s, d), 1.0, 2.5), "score"),
-    "poly_basis": lambda s, d: rounded(embed.polynomial_basis(s, 64, 2), "b"),
-    "detrend_poly": lambda s, d: rounded(series.residual(Q.long(s, d), embed.polynomial_basis(s, 64, 2)), "v"),
+    "poly_basis": lambda s, d: rounded(series.basis_table(s, series.polynomials(64, 2)), "b"),
+    "detrend_poly": lambda s, d: Q.changed(vox(s, d), series.residual("ts", series.polynomials(64, 2))),
     "dct_sketch": lambda s, d: rounded(sketch(s, d), "c"),
     "gram": lambda s, d: rounded(embed.gram(vox(s, d)), "g"),
     "svd_compress": lambda s, d: embed.compressed(vox(s, d)).select("vid", F.posexplode("ts").alias("k", "c")),
-    "count_sketch": lambda s, d: embed.count_sketch(vox(s, d), 16).select("vid", F.posexplode("ts").alias("k", "c")),
+    "count_sketch": lambda s, d: embed.count_sketch(vox(s, d), 64, 16).select("vid", F.posexplode("ts").alias("k", "c")),
     "hash_bits": lambda s, d: embed.hash_bits(vox(s, d), 64),
-    "knn_shrink": lambda s, d: rounded(embed.knn_mean(vox(s, d), near(s, d), 5), "v"),
+    "knn_shrink": lambda s, d: Q.long(embed.knn_mean(vox(s, d), near(s, d), 5)),
     "boundary_score": lambda s, d: local.slice_boundary(vox(s, d), labels(s, d)),
     "region_adjacency": adjacent,
     "functional_gradient": lambda s, d: rounded(local.functional_gradient(vox(s, d), near(s, d)), "g"),
@@ -95,7 +95,7 @@ QUERIES = {
     "checkerboard": lambda s, d: synthetic.checkerboard(vox(s, d), 4, 3),
     "islands": lambda s, d: local.islands(labels(s, d), Q.edges(s, d)),
     "consensus": voted,
-    "meta_clusters": lambda s, d: methods.meta(centers(s, d), 3),
+    "meta_clusters": lambda s, d: methods.meta(centers(s, d)),
 } | {f"cluster_{m}": (lambda s, d, m=m: cluster.cluster(vox(s, d), 20, m)) for m in methods.METHODS if m not in ("slic", "rena")}
 
 SQF = "list_sum(list_transform(range(1, 65), lambda i: (ts[i] - feat[i]) * (ts[i] - feat[i])))"
@@ -140,7 +140,7 @@ ORACLES = {
     "medoids": f"WITH {OWN} SELECT cid, vid FROM own QUALIFY row_number() OVER (PARTITION BY cid ORDER BY sq, vid) = 1",
     "cluster_quality": f"WITH {OWN}, fl AS (SELECT cid, unnest(range(64)) AS t, unnest(feat) AS f FROM feat), c AS (SELECT vid, corr(v, f) AS r FROM s JOIN vox USING (vid) JOIN fl ON fl.cid = vox.cid AND fl.t = s.t GROUP BY vid) SELECT " + _r("avg(0.5 * ln((1 + r) / (1 - r)))", "within_corr") + ", " + _r("avg(sqrt(d2))", "within_dist") + " FROM own JOIN c USING (vid)",
     "center_correlation": f"WITH {CEN}, {Q._edges_sql(1)}, fl AS (SELECT cid, unnest(range(64)) AS t, unnest(feat) AS f FROM feat), p AS (SELECT DISTINCT least(a.cid, b.cid) AS src, greatest(a.cid, b.cid) AS dst FROM e JOIN vox a ON a.vid = src JOIN vox b ON b.vid = dst WHERE a.cid <> b.cid) SELECT src, dst, " + _r("corr(a.f, b.f)", "r") + " FROM p JOIN fl a ON a.cid = src JOIN fl b ON b.cid = dst AND a.t = b.t GROUP BY src, dst",
-    "label_order": f"WITH {CEN}, k AS (SELECT {RANKS} FROM pos), c AS (SELECT " + ", ".join(f"corr(r_cid, r_c{c}) AS cor_{c}" for c in "xyz") + " FROM k) SELECT " + ", ".join(_r(f"cor_{c}", f"cor_{c}") for c in "xyz") + ", greatest(abs(cor_x), abs(cor_y), abs(cor_z)) > 0.3 AS ordered FROM c",
+    "label_order": f"WITH {CEN}, k AS (SELECT {RANKS} FROM pos), c AS (SELECT " + ", ".join(f"corr(r_cid, r_c{c}) AS cor_{c}" for c in "xyz") + " FROM k) SELECT " + ", ".join(_r(f"cor_{c}", f"cor_{c}") for c in "xyz") + ", greatest(abs(cor_x), abs(cor_y), abs(cor_z)) > 0.3 AS ordered, greatest(abs(cor_x), abs(cor_y), abs(cor_z)) > 0.7 AS strongly FROM c",
     "label_validity": f"WITH {Q.VOX}, c AS (SELECT cid * 2 AS cid, count(*) AS n FROM vox GROUP BY 1) SELECT count(*) AS k, (max(cid) - count(*))::BIGINT AS missing, count(*) FILTER (n < 5) AS tiny, 0::BIGINT AS unlabelled FROM c",
     "partition_overlap": f"WITH {Q.TABLE} SELECT " + _r("(2 * (SELECT sum(n * n) FROM tab) + (SELECT sum(n) ** 2 FROM tab) - (SELECT sum(m * m) FROM (SELECT sum(n) AS m FROM tab GROUP BY a)) - (SELECT sum(m * m) FROM (SELECT sum(n) AS m FROM tab GROUP BY b))) / (SELECT sum(n) ** 2 FROM tab)", "overlap"),
     "mcl_matrix": f"WITH {MAT} SELECT row, col, " + _r("x", "x") + " FROM m",

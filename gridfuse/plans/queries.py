@@ -22,8 +22,17 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) + 0.0 for c in columns})
 
 
-def long(spark, d):
-    return series.samples(voxels(spark, d))
+def plain(spark, d):
+    return voxels(spark, d).drop("cid")
+
+
+def changed(voxels: DataFrame, ts) -> DataFrame:
+    """(vid, t, v) of an expression on each series, rounded."""
+    return rounded(series.samples(voxels.select("vid", ts.alias("ts"))), "v")
+
+
+def long(voxels: DataFrame) -> DataFrame:
+    return rounded(series.samples(voxels), "v")
 
 
 VOX = "vox AS (SELECT vec_id AS vid, (vec_id % 10)::INT AS x, ((vec_id // 10) % 10)::INT AS y, (vec_id // 100)::INT AS z, embedding::DOUBLE[] AS ts, label + 1 AS cid FROM embeddings)"
@@ -74,15 +83,15 @@ def nn_components(spark, d):
 
 
 QUERIES = {
-    "norm_volumes": lambda s, d: rounded(series.center_volumes(long(s, d)), "v"),
-    "zscore_timepoint": lambda s, d: rounded(series.scale_times(long(s, d)), "v"),
-    "zscore_voxel": lambda s, d: rounded(series.scale_voxels(long(s, d)), "v"),
-    "detrend_linear": lambda s, d: rounded(series.detrend(long(s, d)), "v"),
-    "normalize_detrend": lambda s, d: rounded(series.detrend(series.center_volumes(long(s, d))), "v"),
-    "dct_basis": lambda s, d: rounded(series.cosine_basis(s, 64, 4), "b"),
-    "dct_coeffs": lambda s, d: rounded(series.coefficients(long(s, d), series.cosine_basis(s, 64, 4)), "c"),
-    "dct_residual": lambda s, d: rounded(series.residual(long(s, d), series.cosine_basis(s, 64, 4)), "v"),
-    "split_half_reliability": lambda s, d: rounded(series.split_half(long(s, d)), "r"),
+    "norm_volumes": lambda s, d: long(series.center_volumes(plain(s, d))),
+    "zscore_timepoint": lambda s, d: long(series.scale_times(plain(s, d))),
+    "zscore_voxel": lambda s, d: changed(plain(s, d), series.scaled("ts")),
+    "detrend_linear": lambda s, d: changed(plain(s, d), series.detrended("ts")),
+    "normalize_detrend": lambda s, d: changed(series.center_volumes(plain(s, d)), series.detrended("ts")),
+    "dct_basis": lambda s, d: rounded(series.basis_table(s, series.cosines(64, 4)), "b"),
+    "dct_coeffs": lambda s, d: rounded(plain(s, d).select("vid", F.posexplode(series.coefficients("ts", series.cosines(64, 4))).alias("k", "c")), "c"),
+    "dct_residual": lambda s, d: changed(plain(s, d), series.residual("ts", series.cosines(64, 4))),
+    "split_half_reliability": lambda s, d: rounded(plain(s, d).select("vid", series.split_half("ts").alias("r")), "r"),
     "unit_rows": lambda s, d: rounded(voxels(s, d).select("vid", V.total(V.unit("ts")).alias("sum_unit"), V.norm("ts").alias("length")), "sum_unit", "length"),
     "quantised_unit": lambda s, d: voxels(s, d).select("vid", F.aggregate(V.quantise_unit("ts"), F.lit(0), lambda a, x: a + x).cast("long").alias("sum_q")),
     "z_smooth": lambda s, d: rounded(series.smooth_z(voxels(s, d).select("vid", "x", "y", "z", F.col("ts")[0].alias("v")), "v").select("vid", "smooth"), "smooth"),
@@ -100,8 +109,8 @@ QUERIES = {
     "cluster_centers": split_centers,
     "contingency": table,
     "partition_agreement": lambda s, d: rounded(groups.agreement(table(s, d)), "ari", "nmi", "purity"),
-    "cluster_sizes": lambda s, d: rounded(groups.sizes(voxels(s, d)), "median", "mean", "sd"),
-    "block_means": lambda s, d: rounded(groups.blocks(voxels(s, d), 4), "cx", "cy", "cz"),
+    "cluster_sizes": lambda s, d: rounded(groups.sizes(voxels(s, d)), "first", "median", "third", "mean", "sd"),
+    "block_means": lambda s, d: rounded(groups.blocks(voxels(s, d), 4).withColumn("sum_feat", V.total("feat")).drop("feat"), "cx", "cy", "cz", "sum_feat"),
     "dense_relabel": lambda s, d: groups.dense(voxels(s, d).select("vid", (F.col("cid") * 7).alias("cid"))),
     "cluster_slic": lambda s, d: cluster.cluster(voxels(s, d), 20, "slic"),
     "cluster_rena": lambda s, d: cluster.cluster(voxels(s, d), 20, "rena"),
@@ -149,7 +158,7 @@ ORACLES = {
     "partition_agreement": f"WITH {TABLE}, t AS (SELECT sum(n)::DOUBLE AS n, sum(n * (n - 1) / 2.0) AS p FROM tab), ra AS (SELECT a, sum(n)::DOUBLE AS m FROM tab GROUP BY a), rb AS (SELECT b, sum(n)::DOUBLE AS m, max(n) AS top FROM tab GROUP BY b), "
     "z AS (SELECT t.n, t.p, (SELECT sum(m * (m - 1) / 2) FROM ra) AS pa, (SELECT sum(m * (m - 1) / 2) FROM rb) AS pb, (SELECT sum(-m / t.n * ln(m / t.n)) FROM ra) AS ha, (SELECT sum(-m / t.n * ln(m / t.n)) FROM rb) AS hb, (SELECT sum(-tab.n / t.n * ln(tab.n / t.n)) FROM tab) AS h, (SELECT sum(top) FROM rb) AS top FROM t) "
     "SELECT n::BIGINT AS n, " + _r("(p - pa * pb / (n * (n - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (n * (n - 1) / 2))", "ari") + ", " + _r("2 * (ha + hb - h) / (ha + hb)", "nmi") + ", " + _r("top / n", "purity") + " FROM z",
-    "cluster_sizes": f"WITH {VOX}, c AS (SELECT cid, count(*) AS n FROM vox GROUP BY cid) SELECT count(*) AS k, min(n) AS smallest, " + _r("median(n)", "median") + ", max(n) AS largest, " + _r("avg(n)", "mean") + ", " + _r("stddev_samp(n)", "sd") + " FROM c",
-    "block_means": f"WITH {VOX} SELECT x // 4 AS bx, y // 4 AS by, z // 4 AS bz, count(*) AS n, " + ", ".join(_r(f"avg({c})", f"c{c}") for c in "xyz") + " FROM vox GROUP BY ALL",
+    "cluster_sizes": f"WITH {VOX}, c AS (SELECT cid, count(*) AS n FROM vox GROUP BY cid) SELECT count(*) AS k, min(n) AS smallest, " + _r("quantile_cont(n, 0.25)", "first") + ", " + _r("quantile_cont(n, 0.75)", "third") + ", " + _r("median(n)", "median") + ", max(n) AS largest, " + _r("avg(n)", "mean") + ", " + _r("stddev_samp(n)", "sd") + " FROM c",
+    "block_means": f"WITH {VOX} SELECT x // 4 AS bx, y // 4 AS by, z // 4 AS bz, count(*) AS n, " + ", ".join(_r(f"avg({c})", f"c{c}") for c in "xyz") + ", " + _r("avg(list_sum(ts))", "sum_feat") + " FROM vox GROUP BY ALL",
     "dense_relabel": f"WITH {VOX} SELECT vid, dense_rank() OVER (ORDER BY cid)::INT AS cid FROM vox",
 }
