@@ -52,7 +52,7 @@ def g3s(voxels: DataFrame, k: int, alpha: float = 0.5, components: int = 15, ref
     """Leading components; seeds at low gradients; growth by alpha * (1 - cosine) + (1 - alpha) * distance / step; refined boundaries."""
     rows = with_ts(voxels, embed.compressed(voxels, components))
     edges = graph.saved(spatial.grid_edges(rows, 26))
-    gradient = local.functional_gradient(rows, spatial.both_ways(edges))
+    gradient = graph.saved(local.functional_gradient(rows, spatial.knn(rows, 26)))
     cost = V.seed_cost("ts", "feat", F.sqrt(local.space()), alpha, math.sqrt(seeds.spacing(rows, k) ** 3))
     starts = graph.saved(seeds.low_gradient(rows, gradient, k, 0.5, fill="index"))
     return groups.dense(local.refine(rows, merge.grow(rows, starts, edges, cost), edges, refinements))
@@ -161,7 +161,8 @@ def commute(voxels: DataFrame, k: int, connectivity: int = 26, rounds: int = 20,
     """
     import numpy as np
 
-    m = math.ceil(math.sqrt(2 * k)) + 1
+    n = voxels.count()
+    m = max(math.ceil(math.sqrt(2 * k)), min(2 * k, n - 1) if n <= 2000 else 0) + 1
     edges = spatial.edge_similarity(spatial.grid_edges(voxels, connectivity), voxels).withColumn("w", F.coalesce("w", F.lit(0.0)) + 1e-6)
     both = graph.saved(spatial.both_ways(edges))
     degree = graph.saved(voxels.select("vid").join(both.groupBy("src").agg(F.sum("w").alias("g")).withColumnRenamed("src", "vid"), "vid", "left").fillna(1.0, ["g"]))
