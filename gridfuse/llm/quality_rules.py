@@ -100,7 +100,7 @@ def apply_policy(entries: DataFrame, policy: str = "v2") -> DataFrame:
 
 
 def ablations(entries: DataFrame, policy: str = "v2") -> DataFrame:
-    """For each rule of a policy: documents that fail it, that fail nothing else, and that each pair of rules shares.
+    """For each rule of a policy: documents that fail it, and those that fail nothing else, which the policy would keep without it.
 
     One pass over the ledger groups by its bits (at most 2**rules rows); the rest is on those.
     """
@@ -112,6 +112,11 @@ def ablations(entries: DataFrame, policy: str = "v2") -> DataFrame:
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rule, n_failed, n_only) of the latest policy over all documents."""
+    return ablations(ledger(common.read(spark, sf_dir, "documents")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = apply_policy(ledger(common.read(spark, sf_dir, "documents")))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
@@ -134,3 +139,8 @@ f AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_word
              + 32 * (100 * n_dup_lines > 30 * n_lines)::BIGINT + 64 * (100 * n_marks > 50 * n_words)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM f
 """
+
+ABLATIONS_SQL = f"""
+WITH r(rule, bit) AS (VALUES {", ".join(f"('{name}', {1 << i}::BIGINT)" for i, name in enumerate(RULES))})
+SELECT rule, sum((fail_bits & bit <> 0)::INT)::BIGINT AS n_failed, sum((fail_bits = bit)::INT)::BIGINT AS n_only FROM ({OP9_SQL}) CROSS JOIN r GROUP BY rule
+"""

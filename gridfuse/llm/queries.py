@@ -7,7 +7,7 @@ from gridfuse.llm.language import op5_language
 from gridfuse.llm.language_model import op2_language_model
 from gridfuse.llm.packed_ids import op1_token_ids
 from gridfuse.llm.packing import op10_packing
-from gridfuse.llm.quality_rules import OP9_SQL, op9_quality_rules
+from gridfuse.llm.quality_rules import ABLATIONS_SQL, OP9_SQL, op9_quality_rules, quality_ablations
 from gridfuse.llm.simhash import op3_simhash
 from gridfuse.llm.suffix import op8_suffix_dedup
 from gridfuse.llm.warc import op7_warc
@@ -26,7 +26,8 @@ QUERIES = {
         op8_suffix_dedup,
         op9_quality_rules,
         op10_packing,
+        quality_ablations,
     )
 }
 
-ORACLES = {"op9_quality_rules": OP9_SQL}
+ORACLES = {"op9_quality_rules": OP9_SQL, "quality_ablations": ABLATIONS_SQL}

@@ -29,7 +29,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A fixed date: the same pages give the same archives.
 DATE = "2024-01-01T00:00:00Z"
 ARCHIVE_BYTES = 256 << 20
-READ_BYTES = 1 << 20
+READ_BYTES = 1 << 16
 
 
 def base32_sha1(data: bytes) -> str:
