@@ -36,6 +36,8 @@ SEED = 42
 FRONTIER = 1 << 20
 #: Rows of whole buckets handled at once.
 ROWS = 1 << 16
+#: Shingles of the sets that are compared at once.
+UNIT = 1 << 21
 
 
 # -- fingerprints -----------------------------------------------------------
@@ -200,12 +202,12 @@ def link(prints: DataFrame, bands: list[np.ndarray], radius: int, shard_nodes: i
     return searched(dealt, names, radius, shard_nodes, spanning, "a long, b long").distinct()
 
 
-def searched(dealt: DataFrame, names: list[str], radius: int, shard_nodes: int, found, schema: str, home: bool = False) -> DataFrame:
-    """Rows (bucket, node, *names) -> what `found` makes of the pairs of each bucket within the radius.
+def searched(dealt: DataFrame, names: list[str], radius: int, shard_nodes: int, found, schema: str, extra: tuple[str, ...] = (), rows_at_once: int = ROWS) -> DataFrame:
+    """Rows (bucket, node, *names, *extra) -> what `found` makes of the pairs of each bucket within the radius.
 
-    With `home`, rows have a component of that name, and buckets of a single one are left out.
+    If a component `home` is among `extra`, buckets of a single one are left out.
     """
-    extra = ["home"] if home else []
+    home = "home" in extra
     sizes = dealt.groupBy("bucket").agg(F.count("*").alias("n"), *([F.min("home").alias("lo"), F.max("home").alias("hi")] if home else [])).filter("n > 1 AND lo < hi" if home else "n > 1")
     sizes = sizes.select("bucket", F.ceil(F.col("n") / shard_nodes).cast("int").alias("m"))
     rows = dealt.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
@@ -216,11 +218,11 @@ def searched(dealt: DataFrame, names: list[str], radius: int, shard_nodes: int,
     ordered = rows.repartition("shard").sortWithinPartitions("bucket", "i", "j", "node")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_groups(batches, ["bucket", "i", "j"], ROWS):
-            c = {n: part.column(n).to_numpy() for n in part.column_names}
+        for part in whole_groups(batches, ["bucket", "i", "j"], rows_at_once):
+            c = {n: part.column(n).to_numpy() if not pa.types.is_list(part.column(n).type) else part.column(n).combine_chunks().flatten().to_numpy().reshape(part.num_rows, -1) for n in part.column_names}
             f = np.stack([c[n] for n in names], 1).view(np.uint64)
             new = (np.diff(c["bucket"]) != 0) | (np.diff(c["i"]) != 0) | (np.diff(c["j"]) != 0)
-            group = np.concatenate(([0], np.cumsum(new)))
+            c["group"] = group = np.concatenate(([0], np.cumsum(new)))
             pairs = Forest(f, group, c["block"] == c["i"]).search(np.flatnonzero(c["block"] == c["j"]), group, radius)
             yield from found(c, pairs, f)
 
@@ -287,7 +289,7 @@ def band_keys(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def set_prints(documents: DataFrame, words: int, lanes: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, key, node, f0, ..., keys): a hash of the text, that of the set of shingles, its fingerprint and its band keys."""
+    """(doc_id, key, node, n, f0, ..., keys): a hash of the text, that of the set of shingles, its size, its fingerprint and its band keys."""
     names = [f"f{i}" for i in range(lanes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,9 +297,9 @@ def set_prints(documents: DataFrame, words: int, lanes: int, bands: int, rows: i
             sets = [shingle_set(v, words) for v in values]
             prints = np.array([simhash(s, lanes) for s, _ in sets], np.uint64).reshape(-1, lanes).view(np.int64)
             keys = pa.array([band_keys(s, bands, rows) for s, _ in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(key, pa.int64()), pa.array([n for _, n in sets], pa.int64()), *(pa.array(prints[:, i]) for i in range(lanes)), keys], ["doc_id", "key", "node", *names, "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(key, pa.int64()), pa.array([n for _, n in sets], pa.int64()), pa.array([len(s) for s, _ in sets], pa.int64()), *(pa.array(prints[:, i]) for i in range(lanes)), keys], ["doc_id", "key", "node", "n", *names, "keys"])
 
-    schema = "doc_id long, key long, node long, " + ", ".join(f"{c} long" for c in names) + ", keys array<long>"
+    schema = "doc_id long, key long, node long, n long, " + ", ".join(f"{c} long" for c in names) + ", keys array<long>"
     return common.as_table(documents, "doc_id", "text").withColumn("key", F.xxhash64("text")).mapInArrow(run, schema)
 
 
@@ -312,27 +314,93 @@ def shingle_sets(documents: DataFrame, words: int) -> DataFrame:
     return common.as_table(documents, "text").mapInArrow(run, "node long, shingles array<long>")
 
 
-def similar(pairs: DataFrame, documents: DataFrame, distinct: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of shingles are alike by `percent` at least, of all that either holds."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def sets_of(nodes: DataFrame, documents: DataFrame, distinct: DataFrame, words: int) -> DataFrame:
+    """(node, shingles), once, of the nodes."""
     wanted, _ = common.cut(distinct.join(nodes, "node", "left_semi").select("node", "doc_id"), "wanted")
     texts = common.as_table(documents, "doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     # A doc_id that stands twice may have texts of other nodes.
-    sets, _ = common.cut(shingle_sets(texts, words).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingles")
+    return common.cut(shingle_sets(texts, words).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingles")[0]
+
+
+def similar(pairs: DataFrame, documents: DataFrame, distinct: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles are alike by `percent` at least, of all that either holds."""
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), documents, distinct, words)
     both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
     shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("m"))
     return shared.filter(F.col("n") * 100 >= (F.col("m") - F.col("n")) * percent).select("a", "b")
 
 
+def alike(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs (a, b) of sorted sets are alike by `percent` at least."""
+    size = np.array([len(s) for s in sets], np.int64)
+    shared = np.empty(len(a), np.int64)
+    value, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    found, which, times = np.unique(value, return_inverse=True, return_counts=True)
+    # Values of one set only are in no intersection; the others are bits.
+    place = np.cumsum(times > 1) - 1
+    words = int((times > 1).sum()) // 64 + 1
+    if len(a) > 4 * len(sets) and words * len(sets) < 1 << 25:
+        bits = np.zeros((len(sets), words), np.uint64)
+        keep = times[which] > 1
+        at = place[which[keep]]
+        np.bitwise_or.at(bits, (owner[keep], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        step = max(1, (1 << 22) // words)
+        for i in range(0, len(a), step):
+            shared[i : i + step] = np.bitwise_count(bits[a[i : i + step]] & bits[b[i : i + step]]).sum(1)
+    else:
+        for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            shared[i] = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+    return shared * 100 >= (size[a] + size[b] - shared) * percent
+
+
+def links_between(asked: DataFrame, documents: DataFrame, distinct: DataFrame, words: int, percent: int) -> DataFrame:
+    """Units (unit, nodes, pairs) of candidate pairs -> links (a, b) that connect all pairs that are alike.
+
+    A unit's sets meet in one task, which compares its pairs there, so no row is made for a pair.
+    """
+    nodes = asked.select("unit", F.explode("nodes").alias("node"))
+    sets = sets_of(nodes.select("node").distinct(), documents, distinct, words)
+    none = lambda t: F.lit(None).cast(t)
+    rows = asked.select("unit", F.lit(0).alias("kind"), none("long").alias("node"), none("array<long>").alias("shingles"), "nodes", "pairs").union(
+        nodes.join(sets, "node").select("unit", F.lit(1), "node", "shingles", none("array<long>"), none("binary"))
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, order, pairs, held = None, [], b"", {}
+
+        def finish() -> pa.RecordBatch:
+            a, b = np.frombuffer(pairs, "<u4").reshape(2, -1).astype(np.int64)
+            sets = [np.sort(held[x]) for x in order]
+            ok, label = alike(sets, a, b, percent), np.arange(len(order))
+            unite(label, a[ok], b[ok])
+            moved, ids = np.flatnonzero(label != np.arange(len(label))), np.array(order, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], ["a", "b"])
+
+        for batch in batches:
+            shingles = batch.column("shingles")
+            for i, (unit, kind, node, names, packed) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("unit", "kind", "node", "nodes", "pairs")), strict=True)):
+                if kind == 0:
+                    if current is not None:
+                        yield finish()
+                    current, order, pairs, held = unit, names, packed, {}
+                else:
+                    held[node] = shingles[i].values.to_numpy()
+        if current is not None:
+            yield finish()
+
+    return rows.repartition("unit").sortWithinPartitions("unit", "kind").mapInArrow(compare, "a long, b long")
+
+
 def near_copies(documents: DataFrame, words: int, lanes: int, radius: int, bands: int, rows: int, percent: int = 80, shard_nodes: int = 1024) -> DataFrame:
     """(doc_id, key, home, component_id) of documents with a doc_id: classes (`home`) of texts (`key`, their xxhash64) linked by a similarity of `percent`, named by their smallest doc_id.
 
     Buckets are bands of minima, the BK-trees' radius narrows them, and the shingles themselves decide. First each node
-    is tried with the nearest before it, which joins most copies; then all pairs that are still of two classes.
+    is tried with the nearest before it, which joins most copies; then all pairs that are still of two classes are
+    compared, in units whose sets meet in one task; a pair is compared in the first band that it shares only.
     """
     names = [f"f{i}" for i in range(lanes)]
     prints, _ = common.cut(set_prints(documents.filter("doc_id IS NOT NULL"), words, lanes, bands, rows), "prints")
-    distinct, _ = common.cut(prints.groupBy("node", *names).agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")), "nodes")
+    distinct, _ = common.cut(prints.groupBy("node", *names).agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
 
     def nearest(c: dict, pairs: Iterator[tuple[np.ndarray, np.ndarray]], f: np.ndarray) -> Iterator[pa.RecordBatch]:
         node, none = c["node"], np.iinfo(np.int64).max
@@ -344,21 +412,41 @@ def near_copies(documents: DataFrame, words: int, lanes: int, radius: int, bands
         yield pa.RecordBatch.from_arrays([pa.array(node[q]), pa.array(best[q] >> 40), pa.array(node[best[q] & ((1 << 40) - 1)])], ["a", "d", "b"])
 
     def apart(c: dict, pairs: Iterator[tuple[np.ndarray, np.ndarray]], f: np.ndarray) -> Iterator[pa.RecordBatch]:
-        node, home = c["node"], c["home"]
+        node, home, size, keys, group = c["node"], c["home"], c["n"], c["keys"], c["group"]
+        held = [np.zeros((2, 0), np.int64)]
         for q, t in pairs:
-            differ = home[q] != home[t]
-            q, t = node[q[differ]], node[t[differ]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(q, t)), pa.array(np.minimum(q, t))], ["a", "b"])
+            # Sets alike by `percent` differ in size by no more than that.
+            ok = (home[q] != home[t]) & (np.minimum(size[q], size[t]) * 100 >= np.maximum(size[q], size[t]) * percent)
+            q, t = q[ok], t[ok]
+            first = (keys[q] == keys[t]).argmax(1) == c["band"][q]
+            held.append(np.stack((q[first], t[first])))
+        q, t = np.concatenate(held, 1)
+        if not len(q):
+            return
+        order = np.argsort(group[q], kind="stable")
+        q, t = q[order], t[order]
+        # Units are whole groups, together of about UNIT shingles.
+        ends = np.append(np.flatnonzero(np.diff(group[q])) + 1, len(q))
+        begin, total, at = 0, 0, 0
+        out = []
+        for end in ends.tolist():
+            total += int(size[np.unique(np.concatenate((q[at:end], t[at:end])))].sum())
+            at = end
+            if total >= UNIT or end == len(q):
+                ids, which = np.unique(node[np.concatenate((q[begin:end], t[begin:end]))], return_inverse=True)
+                out.append((common.task_number(), ids.tolist(), which.astype("<u4").tobytes()))
+                begin, total = end, 0
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out]), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.binary())], ["unit", "nodes", "pairs"])
 
     dealt = distinct.select(F.explode("keys").alias("bucket"), "node", *names)
     first = searched(dealt, names, radius, shard_nodes, nearest, "a long, d long, b long")
     first, _ = common.cut(first.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "pairs")
     links, _ = common.cut(similar(first, documents, distinct, words, percent), "links")
     homes, _ = common.cut(connected(links), "homes")
-    placed = distinct.join(homes, "node", "left").select(F.explode("keys").alias("bucket"), "node", F.coalesce("component", "node").alias("home"), *names)
-    left = searched(placed, names, radius, shard_nodes, apart, "a long, b long", home=True).distinct()
-    left, _ = common.cut(left.join(first, ["a", "b"], "left_anti"), "pairs")
-    more, _ = common.cut(similar(left, documents, distinct, words, percent), "links")
+    placed = distinct.join(homes, "node", "left").select(F.posexplode("keys").alias("band", "bucket"), "node", F.coalesce("component", "node").alias("home"), "n", "keys", *names)
+    asked = searched(placed, names, radius, shard_nodes, apart, "unit string, nodes array<long>, pairs binary", ("home", "n", "keys", "band"), ROWS >> 3)
+    asked, _ = common.cut(asked, "units")
+    more, _ = common.cut(links_between(asked, documents, distinct, words, percent), "links")
     classes = connected(links.union(more))
     named = distinct.join(classes, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("home"))
     least = named.groupBy("home").agg(F.min("doc_id").alias("component_id"))
