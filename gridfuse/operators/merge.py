@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridfuse.functions import vectors as V
-from gridfuse.operators import graph, groups, spatial
+from gridfuse.operators import graph, spatial
 
 #: Price of merging the neighbours a and b, which have `n` voxels and mean features `ts`; `w` is the least price of an edge between them.
 COSTS = {

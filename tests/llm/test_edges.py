@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from gridfuse.llm import bytes_np, importance, language, language_model, packed_ids, packing, quality_rules, simhash, stages, suffix, warc, winnowing
+from gridfuse.llm import bytes_np, importance, language, language_model, packed_ids, packing, quality_rules, stages, suffix, warc, winnowing
 
 WORDS = [f"w{i}" for i in range(300)]
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, key long, first long, stop long, row string, home long, n long"

@@ -8,7 +8,6 @@ import pytest
 from gridfuse.functions import vectors as V
 from gridfuse.operators import cluster, embed, groups, measures
 from gridfuse.plans import more as M
-from gridfuse.plans import queries as Q
 from gridfuse.sources import synthetic, volumes
 from gridfuse.streaming import assign
 from pyspark.sql import functions as F
