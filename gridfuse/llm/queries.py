@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from gridfuse.llm.bpe_lexicon import op11_bpe
+from gridfuse.llm.hard_negatives import op12_hard_negatives
 from gridfuse.llm.importance import op4_importance
 from gridfuse.llm.language import op5_language
 from gridfuse.llm.language_model import op2_language_model
@@ -11,6 +13,7 @@ from gridfuse.llm.quality_rules import ABLATIONS_SQL, OP9_SQL, op9_quality_rules
 from gridfuse.llm.simhash import op3_simhash
 from gridfuse.llm.suffix import op8_suffix_dedup
 from gridfuse.llm.warc import op7_warc
+from gridfuse.llm.whitening import op13_whitening
 from gridfuse.llm.winnowing import op6_decontamination
 
 QUERIES = {
@@ -26,6 +29,9 @@ QUERIES = {
         op8_suffix_dedup,
         op9_quality_rules,
         op10_packing,
+        op11_bpe,
+        op12_hard_negatives,
+        op13_whitening,
         quality_ablations,
     )
 }
