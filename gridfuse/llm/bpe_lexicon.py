@@ -32,7 +32,9 @@ from gridfuse.llm import bytes_np, common
 #: Words of the lexicon, and bytes of its longest word; other words are merged.
 LEXICON_WORDS, WORD_BYTES = 200_000, 32
 #: Distinct words that a task holds before it hands its counts on, and merged words that a worker keeps.
-HELD_WORDS, CACHE_WORDS = 300_000, 200_000
+HELD_WORDS, CACHE_WORDS = 100_000, 50_000
+#: Bytes of text that a task works on at a time.
+AT_ONCE = 1_000_000
 #: Words of more bytes are merged with a heap.
 LONG = 200
 MAGIC = b"GFLEX001"
@@ -455,7 +457,7 @@ def count_words(documents: DataFrame, path: str, most_bytes: int = WORD_BYTES) -
         def rows() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
-        for (values,) in common.chunks(batches, "text"):
+        for (values,) in common.chunks(batches, "text", size=AT_ONCE):
             held.update(Words(values, classes.value, special).counts(most_bytes))
             if len(held) >= HELD_WORDS:
                 yield rows()
@@ -506,17 +508,19 @@ def encoder(path: str, name: str) -> Encoder:
     return _encoders[path, name]
 
 
-def encode(documents: DataFrame, path: str, lexicon: str) -> DataFrame:
-    """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers."""
+def encode(documents: DataFrame, path: str, lexicon: str, decoded: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers; with `decoded` also the text that `decode` makes of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        many = encoder(path, lexicon).many
-        for doc_ids, values in common.chunks(batches, "text", "doc_id"):
-            ids = many(values)
-            arrays = [pa.array(doc_ids, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids"])
+        many, back = encoder(path, lexicon).many, Decoder(path).many if decoded else None
+        for doc_ids, values in common.chunks(batches, "text", "doc_id", size=AT_ONCE):
+            ids = [x.astype("<u4").tobytes() for x in many(values)]
+            arrays = [pa.array(doc_ids, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+            if decoded:
+                arrays.append(pa.array([t.decode("utf-8", "replace") for t in back([np.frombuffer(x, "<u4") for x in ids])], pa.string()))
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids", "text"][: len(arrays)])
 
-    return common.as_table(documents, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return common.as_table(documents, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -544,5 +548,5 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     documents = common.read(spark, sf_dir, "documents")
-    encoded = encode(documents, path, compile_lexicon(documents, path))
-    return decode(encoded, path).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    encoded = encode(documents, path, compile_lexicon(documents, path), decoded=True)
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
