@@ -467,10 +467,23 @@ def count_words(documents: DataFrame, path: str, most_bytes: int = WORD_BYTES) -
     return common.as_table(documents, "text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def least_count(counted: DataFrame, size: int) -> int:
+    """The least count so that at most `size` words have it or more; counts of over three digits go by their first three, so there are some thousands of them."""
+    digits = F.greatest(F.floor(F.log10("n")) - 2, F.lit(0))
+    step = F.pow(F.lit(10.0), digits).cast("long")
+    room, least = size, 1 << 62
+    for row in counted.groupBy((F.expr("n") - F.expr("n") % step).alias("c")).agg(F.count("*").alias("words")).orderBy(F.col("c").desc()).collect():
+        if row.words > room:
+            break
+        room, least = room - row.words, row.c
+    return least
+
+
 def compile_lexicon(documents: DataFrame, path: str, size: int = LEXICON_WORDS) -> str:
     """Compiles the `size` most frequent words that stand twice or more and sends the file to the executors; returns its name there.
 
-    Ids of the words are merged in tasks; only the lexicon, bounded by `size`, comes to the driver.
+    Ids of the words are merged in tasks; only the lexicon, bounded by `size`, comes to the driver. Words that stand as often as the first one that has no
+    room stay out, so a count decides and no task sorts the words.
     """
 
     def outputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -479,8 +492,9 @@ def compile_lexicon(documents: DataFrame, path: str, size: int = LEXICON_WORDS)
             words = batch.column("word")
             yield pa.RecordBatch.from_arrays([words, pa.array([merged(w) for w in words.to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
 
-    frequent = count_words(documents, path).filter("n > 1").orderBy(F.col("n").desc(), "word").limit(size).select("word")
-    found, folder = common.cut(frequent, "words")
+    counted, all_counted = common.cut(count_words(documents, path).filter("n > 1"), "counts")
+    found, folder = common.cut(counted.filter(F.col("n") >= least_count(counted, size)).select("word"), "words")
+    common.drop(documents.sparkSession, all_counted)
     rows = found.repartition(max(1, min(64, found.count() // 4096)), "word").mapInArrow(outputs, "word binary, ids array<int>").toArrow()
     common.drop(documents.sparkSession, folder)
     file = compiled(rows["word"].to_pylist(), rows["ids"].to_pylist(), character_classes(path))
