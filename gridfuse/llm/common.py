@@ -66,7 +66,7 @@ def texts(column: pa.Array) -> list[bytes]:
     return [v or b"" for v in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str, *others: str, size: int = 2_000_000) -> Iterator[tuple]:
+def chunks(batches: Iterator[pa.RecordBatch], text: str, *others: str, size: int = 1_000_000) -> Iterator[tuple]:
     """Each batch in runs of rows of about `size` bytes of text: (values of the other columns..., texts as UTF-8).
 
     Bounds the memory of numpy work; a longer text is a run of its own, whole.
