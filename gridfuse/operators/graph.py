@@ -43,8 +43,17 @@ def discard(*tables: DataFrame | None) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def nearest_edge(edges: DataFrame) -> DataFrame:
-    """(src, dst, d): each node's nearest neighbour by d; ties go to the smaller id."""
+def nearest_edge(edges: DataFrame, hashed: bool = False) -> DataFrame:
+    """(src, dst, d): each node's nearest neighbour by d; ties go to the smaller id, or with `hashed` to the pair of the smaller hash.
+
+    Where many prices are equal, the smaller id makes long chains of which one pair is mutual; hashes are the same seen from both ends and break them up.
+    """
+    if hashed:
+        from gridfuse.operators import forest  # imports this module
+
+        rows = both_ways(edges.select("src", "dst", "d").withColumn("h", forest.pair_hash(F.least("src", "dst"), F.greatest("src", "dst"))))
+        best = rows.groupBy("src").agg(F.min(F.struct("d", "h", F.least("src", "dst"), F.greatest("src", "dst"), "dst")).alias("m"))
+        return best.select("src", F.col("m.dst").alias("dst"), F.col("m.d").alias("d"))
     best = both_ways(edges.select("src", "dst", "d")).groupBy("src").agg(F.min(F.struct("d", "dst")).alias("m"))
     return best.select("src", F.col("m.dst").alias("dst"), F.col("m.d").alias("d"))
 

@@ -1,4 +1,4 @@
-"""Agglomeration and growth on graphs, in rounds that each merge or label as much as they can at once."""
+"""Agglomeration on graphs, in rounds that each merge as much as they can at once."""
 
 from __future__ import annotations
 
@@ -68,7 +68,7 @@ def agglomerate(nodes: DataFrame, edges: DataFrame, k: int, cost: str, scale: fl
     labels = graph.saved(labels)
     left = nodes.count()
     while left > k:
-        near = graph.nearest_edge(priced(nodes, edges, cost, scale))
+        near = graph.nearest_edge(priced(nodes, edges, cost, scale), hashed=True)
         back = near.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
         pairs = graph.saved(near.join(back, ["src", "dst"], "left_semi").filter("src < dst"))
         found = pairs.count()
@@ -131,34 +131,3 @@ def coarsen(nodes: DataFrame, edges: DataFrame, stop_at: int, image: DataFrame |
 
 def leaves(voxels: DataFrame) -> DataFrame:
     return voxels.select("vid", F.lit(1).cast("long").alias("n"), "ts", F.lit(0.0).alias("inner"))
-
-
-def grow(voxels: DataFrame, seeds: DataFrame, edges: DataFrame, cost: Column, unit: bool = False) -> DataFrame:
-    """(vid, cid): seeds (vid, cid) spread along edges; each round the voxels next to labelled ones take the neighbouring label
-    of least `cost` against its mean so far (scaled to length one with `unit`). Voxels that no seed reaches get no row.
-
-    A round looks at the neighbours of the voxels labelled in the one before only, and adds only those to the running sums.
-    """
-    both = graph.saved(spatial.both_ways(edges.select("src", "dst")))
-    front = graph.saved(seeds.select("vid", "cid"))
-    labels, sums = front, None
-    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    while not front.isEmpty():
-        new = front.join(voxels.select("vid", "x", "y", "z", "ts"), "vid")
-        added = new.select("cid", F.posexplode("ts").alias("t", "v")).groupBy("cid", "t").agg(F.sum("v").alias("v")).groupBy("cid").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "v"))), lambda s: s.v).alias("ts"))
-        added = new.groupBy("cid").agg(F.count("*").alias("n"), *[F.sum(c).cast("double").alias(c) for c in "xyz"]).join(added, "cid")
-        if sums is not None:
-            more = added.select("cid", *[F.col(c).alias(f"_{c}") for c in ("n", "x", "y", "z", "ts")])
-            added = sums.join(more, "cid", "left").select("cid", *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in ("n", "x", "y", "z")], F.coalesce(plus("ts", "_ts"), "ts").alias("ts"))
-        new_sums = graph.saved(added)
-        graph.discard(sums)
-        sums = new_sums
-        feat = F.transform("ts", lambda v: v / F.col("n"))
-        centers = sums.select("cid", (V.unit(feat) if unit else feat).alias("feat"), *[(F.col(c) / F.col("n")).alias(f"c{c}") for c in "xyz"])
-        # Voxels that wait beside older labels were taken in their own round, so only the front has unlabelled neighbours.
-        asked = both.join(front.withColumnRenamed("vid", "dst"), "dst").select(F.col("src").alias("vid"), "cid").distinct().join(labels, "vid", "left_anti")
-        rows = asked.join(centers, "cid").join(voxels.select("vid", "x", "y", "z", "ts"), "vid")
-        front = graph.saved(rows.groupBy("vid").agg(F.min(F.struct(cost.alias("d"), F.col("cid"))).alias("m")).select("vid", F.col("m.cid").alias("cid")))
-        new_labels = graph.saved(labels.union(front))
-        labels = new_labels
-    return labels

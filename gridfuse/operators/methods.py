@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridfuse.functions import vectors as V
-from gridfuse.operators import cluster, embed, exact, flow, graph, groups, local, merge, seeds, series, spatial
+from gridfuse.operators import cluster, embed, exact, flow, forest, graph, groups, growth, local, louvain, merge, neighbours, seeds, series, slices, spatial, spectral
 
 
 def times(voxels: DataFrame) -> int:
@@ -40,12 +40,12 @@ def supervoxels(voxels: DataFrame, k: int, alpha: float = 0.5, sigma1: float = 1
 
 
 def snic(voxels: DataFrame, k: int, compactness: float = 5.0) -> DataFrame:
-    """Seeds grow over the 26 neighbours by |offset|**2 / step**2 + |feature difference|**2 / compactness."""
-    step = 1.1 * spatial.step_for(voxels.count(), k)
-    rows = graph.saved(voxels.withColumn("ts", series.scaled("ts")))
+    """Seeds grow over the 26 neighbours, cheapest offers first, by |offset|**2 / step**2 + |feature difference|**2 / compactness; step is 1.1 times the seeds' spacing."""
+    step = 1.1 * seeds.spacing(voxels, k)
+    rows = graph.saved(voxels.withColumn("ts", F.when(F.size("ts") > 1, series.scaled("ts")).otherwise(F.col("ts"))))
     starts = graph.saved(seeds.initial(rows, k, "gradient", local.gradient(rows, "difference")))
-    # Voxels are z-scores while the centers have length one, so far features cost more than in the mean's own scale.
-    return groups.dense(merge.grow(rows, starts, spatial.grid_edges(rows, 26), V.region_distance("ts", "feat", local.space(), step * step, compactness), unit=True))
+    # Voxels are z-scores while the centers have length one, so features cost by their angle.
+    return groups.dense(growth.grow(rows, starts, spatial.grid_edges(rows, 26), V.region_distance("ts", "feat", local.space(), step * step, compactness), unit=True))
 
 
 def g3s(voxels: DataFrame, k: int, alpha: float = 0.5, components: int = 15, refinements: int = 3) -> DataFrame:
@@ -55,7 +55,7 @@ def g3s(voxels: DataFrame, k: int, alpha: float = 0.5, components: int = 15, ref
     gradient = graph.saved(local.functional_gradient(rows, spatial.knn(rows, 26)))
     cost = V.seed_cost("ts", "feat", F.sqrt(local.space()), alpha, math.sqrt(seeds.spacing(rows, k) ** 3))
     starts = graph.saved(seeds.low_gradient(rows, gradient, k, 0.5, fill="index"))
-    return groups.dense(local.refine(rows, merge.grow(rows, starts, edges, cost), edges, refinements))
+    return groups.dense(local.refine(rows, growth.grow(rows, starts, edges, cost), edges, refinements))
 
 
 def corr_slic(voxels: DataFrame, k: int, alpha: float = 0.1, dimensions: int = 16, basis: str = "hash", rounds: int = 6, connected: bool = True) -> DataFrame:
@@ -90,14 +90,41 @@ def brs_slic(voxels: DataFrame, k: int, alpha: float = 0.05, dimensions: int = 2
     return groups.dense(local.islands(labels, edges, max(10, round(step**3 / 4))))
 
 
-def slice_msf(voxels: DataFrame, k: int, compactness: float = 2.0, r: int = 48) -> DataFrame:
-    """A forest over cosine sketches that merges where an edge is no dearer than the parts' own plus a share of their size; then down to k."""
+def slice_run(voxels: DataFrame, compactness: float = 2.0, r: int = 48, min_size: int = 1, smooth: float = 0.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One raw run: (vid, cid) parts of slices, (vid, w) reliabilities and (vid, ts) cosine sketches, smoothed over z if asked."""
     n_time = times(voxels)
     rows = with_ts(voxels, embed.sketch(voxels, n_time, min(n_time - 1, r)))
-    edges = spatial.forward_edges(rows, 26)
-    forest, nodes, left = merge.agglomerate(merge.leaves(rows), edges, k, "edge", 2.0 / (compactness + 1))
-    named, _, _ = merge.agglomerate(nodes, left, k, "cosine")
-    return groups.dense(renamed(forest, named))
+    if smooth > 0:
+        long = rows.select("vid", "x", "y", "z", F.posexplode("ts").alias("t", "v"))
+        parts = long.join(long.select("x", "y", (F.col("z") + 1).alias("z"), "t", F.col("v").alias("lo")), ["x", "y", "z", "t"], "left").join(long.select("x", "y", (F.col("z") - 1).alias("z"), "t", F.col("v").alias("hi")), ["x", "y", "z", "t"], "left")
+        mixed = parts.select("vid", "t", ((1 - smooth) * F.col("v") + smooth / 2 * (F.coalesce("lo", "v") + F.coalesce("hi", "v"))).alias("v"))
+        rows = with_ts(voxels, embed.gathered(mixed, "vid", "t", "v").select("vid", V.unit("ts").alias("ts")))
+    pairs = slices.slice_edges(rows)
+    edges = spatial.with_features(pairs, rows).select("src", "dst", F.least(F.greatest(1 - V.dot("a", "b"), F.lit(0.0)), F.lit(2.0)).alias("w"))
+    labels = graph.saved(slices.segment_slices(rows, edges, 2.0 / (compactness + 1), min_size))
+    return labels, voxels.select("vid", series.split_half("ts").alias("w")), rows.select("vid", "ts")
+
+
+def slice_msf(voxels: DataFrame, k: int, compactness: float = 2.0, r: int = 48, min_size: int | None = None, runs: int = 1, retries: int = 2) -> DataFrame:
+    """Forests of slices over cosine sketches, then parts that touch, over slices too, unite by cosine to k; several runs (of growing smoothness over z) are fused first.
+
+    With too few parts it is run again, `retries` times, with twice the compactness and half the least size.
+    """
+    n = voxels.count()
+    min_size = max(1, n // (8 * k)) if min_size is None else min_size
+    for attempt in range(retries + 1):
+        made = [slice_run(voxels, compactness, r, min_size, 0.3 * i) for i in range(max(1, runs))]
+        rows = with_ts(voxels, made[0][2])
+        labels = made[0][0]
+        if len(made) > 1:
+            edges = slices.fused_edges(rows, [(one.withColumn("cid", F.col("cid") + 1), None) for one, _, _ in made], [s for _, _, s in made])
+            labels = graph.saved(slices.segment_slices(rows, edges, 2.0 / (compactness + 1), min_size))
+        if attempt == retries or labels.select("cid").distinct().count() >= k:
+            break
+        compactness, min_size = compactness * 2, max(1, min_size // 2)
+    nodes, prices = slices.part_prices(rows, labels, vertical=True)
+    named, _, _ = merge.agglomerate(nodes, prices, k, "cosine")
+    return groups.dense(renamed(labels, named))
 
 
 def renamed(labels: DataFrame, names: DataFrame) -> DataFrame:
@@ -144,55 +171,61 @@ def mcl(voxels: DataFrame, k: int, spatial_weight: float = 0.2, inflation: float
     return groups.dense(flow.markov(voxels, edges, inflation, min(64, max(16, k)), rounds=rounds).withColumn("cid", F.col("cid") + 1))
 
 
-def acsc(voxels: DataFrame, k: int, block: int = 2, refinements: int = 5) -> DataFrame:
-    """Means of blocks, agglomerated by cosine among touching blocks to k; then refined boundaries."""
-    own = voxels.select("vid", F.xxhash64(*[F.expr(f"{c} div {block}") for c in "xyz"]).alias("cid"))
-    own = graph.saved(groups.dense(own.withColumn("cid", F.col("cid").bitwiseAND((1 << 62) - 1) + 1)))
+def acsc(voxels: DataFrame, k: int, block: int = 2, refinements: int = 5, near: int = 10, alpha: float = 0.5, weighting: str = "gaussian", projection: str | None = None, components: int = 0) -> DataFrame:
+    """Communities of a graph of block means: each block's nearest by features, weighted with their places, at the resolution that gives about k; then refined boundaries."""
+    edges, nodes, own = neighbours.block_graph(voxels, block, near, alpha, weighting, projection, components)
+    found, _, _ = louvain.to_k(nodes.select("vid"), edges, k)
+    labels = own.join(found.select(F.col("vid").alias("cid"), F.col("cid").alias("new")), "cid").select("vid", F.col("new").alias("cid"))
     grid = graph.saved(spatial.grid_edges(voxels, 26))
-    nodes = groups.centers(voxels, own).select(F.col("cid").cast("long").alias("vid"), "n", F.col("feat").alias("ts"), F.lit(0.0).alias("inner"))
-    named, _, _ = merge.agglomerate(nodes, graph.contract(grid, own.withColumn("cid", F.col("cid").cast("long"))).withColumn("w", F.lit(0.0)), k, "cosine")
-    return groups.dense(local.refine(voxels, renamed(own, named), grid, refinements))
-
-
-def commute(voxels: DataFrame, k: int, connectivity: int = 26, rounds: int = 20, seed: int = 1) -> DataFrame:
-    """k-means of a spectral embedding of the grid graph; the embedding comes from power iteration of the lazy random walk.
-
-    Columns are made orthogonal through their products, a matrix of the number of columns squared.
-    """
-    import numpy as np
-
+    return groups.dense(local.refine(voxels, groups.dense(labels), grid, refinements, fixed=True))
+
+
+def commute_weights(voxels: DataFrame, near: int = 27, alpha: float = 0.5, sigma1: float = 0.73, sigma2: float = 5.0, mode: str = "binary") -> DataFrame:
+    """(src, dst, w): among each other's `near` nearest places within 6 * sigma2: alpha * kernel of features + (1 - alpha) * closeness (1, or with "heat" a kernel of the distance),
+    every row divided by its sum and the two directions averaged."""
+    if mode not in ("binary", "heat"):
+        raise ValueError("mode must be binary or heat")
+    # Within the reach of the nearest: a voxel's own place counts as one of them.
+    found = spatial.knn(voxels, max(1, near - 1)).filter(F.col("d") <= 6 * sigma2)
+    rows = spatial.with_features(found.select("src", "dst", "d"), voxels)
+    close = F.lit(1.0) if mode == "binary" else V.heat(F.col("d") * F.col("d"), sigma2)
+    w = alpha * V.normalised_heat(V.sq_distance("a", "b"), F.size("a"), sigma1) + (1 - alpha) * close
+    one = rows.select("src", "dst", w.alias("w"))
+    share = one.join(one.groupBy("src").agg(F.sum("w").alias("all")), "src").select("src", "dst", (F.col("w") / F.col("all") / 2).alias("w"))
+    return share.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w").groupBy("src", "dst").agg(F.sum("w").alias("w"))
+
+
+def commute(voxels: DataFrame, k: int, connectivity: int = 27, components: int | None = None, alpha: float = 0.5, sigma1: float = 0.73, sigma2: float = 5.0, mode: str = "binary", starts: int = 10, seed: int = 1, tolerance: float = 1e-3) -> DataFrame:
+    """The best of several k-means of the commute-time embedding of a graph of places and features."""
     n = voxels.count()
-    m = max(math.ceil(math.sqrt(2 * k)), min(2 * k, n - 1) if n <= 2000 else 0) + 1
-    edges = spatial.edge_similarity(spatial.grid_edges(voxels, connectivity), voxels).withColumn("w", F.coalesce("w", F.lit(0.0)) + 1e-6)
-    both = graph.saved(spatial.both_ways(edges))
-    degree = graph.saved(voxels.select("vid").join(both.groupBy("src").agg(F.sum("w").alias("g")).withColumnRenamed("src", "vid"), "vid", "left").fillna(1.0, ["g"]))
-    start = F.array(F.lit(1.0), *[F.xxhash64(F.col("vid"), F.lit(seed + j)) / 2.0**63 for j in range(1, m)])
-    x = graph.saved(voxels.select("vid", start.alias("ts")))
-    for _ in range(rounds):
-        sums = both.join(x.withColumnRenamed("vid", "dst"), "dst").select("src", "w", F.posexplode("ts").alias("j", "v")).groupBy("src", "j").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
-        step = embed.gathered(sums, "src", "j", "v", "y").withColumnRenamed("src", "vid")
-        moved = x.join(degree, "vid").join(step, "vid", "left").select("vid", "g", F.coalesce(F.zip_with("ts", "y", lambda a, b: (a + b / F.col("g")) / 2), "ts").alias("ts"))
-        moved = graph.saved(moved)
-        cells = embed.gram(moved.select(F.transform("ts", lambda v: v * F.sqrt("g")).alias("ts"))).toPandas()
-        dense = np.zeros((m, m))
-        dense[cells.s, cells.t] = cells.g
-        back = np.linalg.inv(np.linalg.cholesky(dense + 1e-12 * np.trace(dense) * np.eye(m)))
-        x = graph.saved(moved.select("vid", F.array(*[V.dot(F.col("ts"), F.array(*[F.lit(float(v)) for v in line])) for line in back]).alias("ts")))
-    features = x.select("vid", array_to_vector(F.slice("ts", 2, m - 1)).alias("features"))
-    return groups.dense(KMeans(k=k, seed=seed).fit(features).transform(features).select("vid", (F.col("prediction") + 1).alias("cid")))
+    m = components or max(math.ceil(math.sqrt(2 * k)), min(2 * k, n - 1) if n <= 2000 else 0)
+    rows = graph.saved(voxels.withColumn("ts", F.when(F.size("ts") > 1, series.scaled(V.repaired("ts", F.col("vid"), seed))).otherwise(F.col("ts"))))
+    edges = graph.saved(commute_weights(rows, connectivity, alpha, sigma1, sigma2, mode))
+    made, _ = spectral.commute_times(rows.select("vid"), edges, min(m, n - 1), tolerance=tolerance)
+    features = graph.saved(made.select("vid", "ts")).select("vid", array_to_vector("ts").alias("features")).persist()
+    fits = (KMeans(k=k, seed=seed + i, maxIter=50).fit(features) for i in range(starts))
+    best = min(fits, key=lambda fit: fit.summary.trainingCost)
+    labels = graph.saved(best.transform(features).select("vid", (F.col("prediction") + 1).alias("cid")))
+    features.unpersist()
+    return groups.dense(labels)
 
 
-def consensus(voxels: DataFrame, partitions: list[DataFrame], k: int) -> DataFrame:
-    """Merges neighbours by the share of partitions that keep them apart, down to k."""
+def votes(voxels: DataFrame, partitions: list[DataFrame]) -> DataFrame:
+    """(src, dst, w): the share of partitions that keep two neighbours apart."""
     edges = graph.saved(spatial.grid_edges(voxels, 6))
-    votes = None
+    rows = None
     for labels in partitions:
         a = labels.select(F.col("vid").alias("src"), F.col("cid").alias("a"))
         pairs = edges.join(a, "src").join(a.select(F.col("src").alias("dst"), F.col("a").alias("b")), "dst")
-        rows = pairs.select("src", "dst", F.expr("CAST(a <> b AS DOUBLE)").alias("w"))
-        votes = rows if votes is None else votes.union(rows)
-    named, _, _ = merge.agglomerate(merge.leaves(voxels), votes.groupBy("src", "dst").agg(F.avg("w").alias("w")), k, "edge")
-    return groups.dense(named.withColumn("cid", F.col("cid") + 1))
+        one = pairs.select("src", "dst", F.expr("CAST(a <> b AS DOUBLE)").alias("w"))
+        rows = one if rows is None else rows.union(one)
+    return rows.groupBy("src", "dst").agg(F.avg("w").alias("w"))
+
+
+def consensus(voxels: DataFrame, partitions: list[DataFrame], k: int) -> DataFrame:
+    """(vid, cid): the spanning forest of the votes without its dearest edges, so that k parts are left."""
+    _, tree = forest.spanning(voxels.select("vid"), votes(voxels, partitions))
+    return groups.dense(forest.cut(voxels.select("vid"), tree, k).withColumn("cid", F.col("cid") + 1))
 
 
 def meta(centers: DataFrame, cuts: list[int] | None = None, distance: str = "correlation") -> DataFrame:

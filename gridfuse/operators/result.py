@@ -41,11 +41,11 @@ OPTIONS = {
     "rena": lambda w, n, c: {"connectivity": c},
     "rena_plus": lambda w, n, c: {"connectivity": c},
     "mcl": lambda w, n, c: {"spatial_weight": w, "rounds": n, "connectivity": c},
-    "acsc": lambda w, n, c: {"refinements": n},
-    "commute": lambda w, n, c: {"connectivity": c},
+    "acsc": lambda w, n, c: {"refinements": n, "alpha": 1 - w},
+    "commute": lambda w, n, c: {"connectivity": c, "alpha": 1 - w},
 }
 #: Methods whose weight of space has no effect, and those that find their own number of clusters.
-NO_SPACE, OWN_K = {"rena", "rena_plus", "acsc", "commute"}, {"mcl"}
+NO_SPACE, OWN_K = {"rena", "rena_plus"}, {"mcl"}
 
 
 @dataclasses.dataclass

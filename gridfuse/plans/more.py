@@ -57,11 +57,6 @@ def adjacent(s, d):
     return graph.contract(Q.edges(s, d), labels(s, d))
 
 
-def voted(s, d):
-    v = vox(s, d)
-    return methods.consensus(v, [labels(s, d), cluster.grid_labels(v, 12), synthetic.checkerboard(v, 4, 5)], 12)
-
-
 QUERIES = {
     "heat_kernel": lambda s, d: rounded(heat(s, d), "heat", "normalised"),
     "own_scores": lambda s, d: rounded(local.own_scores(vox(s, d), labels(s, d), centers(s, d), 1.0, 2.5), "score"),
@@ -94,7 +89,6 @@ QUERIES = {
     "mcl_inflate": lambda s, d: rounded(flow.inflated(matrix(s, d), 1.6), "x"),
     "checkerboard": lambda s, d: synthetic.checkerboard(vox(s, d), 4, 3),
     "islands": lambda s, d: local.islands(labels(s, d), Q.edges(s, d)),
-    "consensus": voted,
     "meta_clusters": lambda s, d: methods.meta(centers(s, d)),
 } | {f"cluster_{m}": (lambda s, d, m=m: cluster.cluster(vox(s, d), 20, m)) for m in methods.METHODS if m not in ("slic", "rena")}
 
