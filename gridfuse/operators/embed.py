@@ -66,6 +66,12 @@ def embedding_size(n_voxels: int, n_time: int, least: int = 16, most: int = 128)
     return int(max(1, min(wanted, n_time - 1 if n_time > 1 else 1)))
 
 
+def embedding_sizes(n_voxels: Column, n_time: Column, least: int = 16, most: int = 128) -> Column:
+    """`embedding_size` of each row."""
+    wanted = 8 * F.bround(F.greatest(F.lit(least), F.least(F.lit(most), 8 * F.log2(F.greatest(n_voxels, F.lit(2))))) / 8)
+    return F.greatest(F.lit(1), F.least(wanted, F.when(n_time > 1, n_time - 1).otherwise(1))).cast("int")
+
+
 def bit_pairs(coefficients: int, bits: int) -> list[tuple[int, int]]:
     """Which two coefficients each bit compares, by a multiplicative rule."""
     return [((7 * b + 1) % coefficients, (7 * b + 2 + b % (coefficients - 1)) % coefficients) for b in range(bits)]

@@ -60,7 +60,7 @@ def adjacent(s, d):
 QUERIES = {
     "heat_kernel": lambda s, d: rounded(heat(s, d), "heat", "normalised"),
     "own_scores": lambda s, d: rounded(local.own_scores(vox(s, d), labels(s, d), centers(s, d), 1.0, 2.5), "score"),
-    "poly_basis": lambda s, d: rounded(series.basis_table(s, series.polynomials(64, 2)), "b"),
+    "poly_basis": lambda s, d: Q.shares(s, d, series.polynomials(64, 2)),
     "detrend_poly": lambda s, d: Q.changed(vox(s, d), series.residual("ts", series.polynomials(64, 2))),
     "dct_sketch": lambda s, d: rounded(sketch(s, d), "c"),
     "gram": lambda s, d: rounded(embed.gram(vox(s, d)), "g"),
@@ -116,7 +116,7 @@ RANKS = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c
 ORACLES = {
     "heat_kernel": f"WITH {Q.DIST} SELECT src, dst, " + _r("exp(-d / 2)", "heat") + ", " + _r("exp(-d / 128 / 2)", "normalised") + " FROM d",
     "own_scores": f"WITH {OWN} SELECT vid, " + _r("exp(-sq / 128 / 2) + exp(-d2 / 12.5)", "score") + " FROM own",
-    "poly_basis": f"WITH {POLY} SELECT t, k, " + _r("b", "b") + " FROM pb",
+    "poly_basis": f"WITH {Q.LONG}, {POLY}, pc AS (SELECT vid, k, sum(v * b) AS c FROM s JOIN pb USING (t) GROUP BY vid, k) SELECT vid, k, " + _r("c * c / list_sum(list_transform(ts, lambda q: q * q))", "b") + " FROM pc JOIN vox USING (vid)",
     "detrend_poly": f"WITH {Q.LONG}, {POLY}, c AS (SELECT vid, k, sum(v * b) AS c FROM s JOIN pb USING (t) GROUP BY vid, k), f AS (SELECT vid, t, sum(c * b) AS f FROM c JOIN pb USING (k) GROUP BY vid, t) SELECT vid, t, " + _r("v - f", "v") + " FROM s JOIN f USING (vid, t)",
     "dct_sketch": f"WITH {Q.LONG}, dm AS (SELECT vid, t, v - mv - b * (t - mt) AS v FROM (SELECT *, sum((t - mt) * (v - mv)) OVER (PARTITION BY vid) / sum((t - mt) * (t - mt)) OVER (PARTITION BY vid) AS b FROM (SELECT *, avg(t) OVER (PARTITION BY vid) AS mt, avg(v) OVER (PARTITION BY vid) AS mv FROM s))), "
     "zz AS (SELECT vid, t, (v - avg(v) OVER (PARTITION BY vid)) / stddev_samp(v) OVER (PARTITION BY vid) AS v FROM dm), c AS (SELECT vid, k, sum(v * sqrt(2 / 64.0) * cos(pi() * (t + 0.5) * k / 64)) AS c FROM zz, range(1, 5) r(k) GROUP BY vid, k) SELECT vid, k::INT AS k, " + _r("c / sqrt(sum(c * c) OVER (PARTITION BY vid))", "c") + " FROM c",

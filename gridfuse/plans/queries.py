@@ -82,13 +82,19 @@ def nn_components(spark, d):
     return graph.components(voxels(spark, d), nearest(spark, d).select("src", "dst"))
 
 
+def shares(s, d, basis):
+    """(vid, k, b): the share of each voxel's squared length that one function of a basis holds."""
+    rows = plain(s, d).select("vid", V.dot("ts", "ts").alias("q"), F.posexplode(series.coefficients("ts", basis)).alias("k", "c"))
+    return rounded(rows.select("vid", "k", (F.col("c") * F.col("c") / F.col("q")).alias("b")), "b")
+
+
 QUERIES = {
     "norm_volumes": lambda s, d: long(series.center_volumes(plain(s, d))),
     "zscore_timepoint": lambda s, d: long(series.scale_times(plain(s, d))),
     "zscore_voxel": lambda s, d: changed(plain(s, d), series.scaled("ts")),
     "detrend_linear": lambda s, d: changed(plain(s, d), series.detrended("ts")),
     "normalize_detrend": lambda s, d: changed(series.center_volumes(plain(s, d)), series.detrended("ts")),
-    "dct_basis": lambda s, d: rounded(series.basis_table(s, series.cosines(64, 4)), "b"),
+    "dct_basis": lambda s, d: shares(s, d, series.cosines(64, 4)),
     "dct_coeffs": lambda s, d: rounded(plain(s, d).select("vid", F.posexplode(series.coefficients("ts", series.cosines(64, 4))).alias("k", "c")), "c"),
     "dct_residual": lambda s, d: changed(plain(s, d), series.residual("ts", series.cosines(64, 4))),
     "split_half_reliability": lambda s, d: rounded(plain(s, d).select("vid", series.split_half("ts").alias("r")), "r"),
@@ -135,7 +141,7 @@ ORACLES = {
     "zscore_voxel": f"WITH {LONG} SELECT vid, t, " + _r("(v - avg(v) OVER (PARTITION BY vid)) / stddev_samp(v) OVER (PARTITION BY vid)", "v") + " FROM s",
     "detrend_linear": f"WITH {LONG} " + _DETREND.format("s"),
     "normalize_detrend": f"WITH {LONG}, c AS (SELECT vid, t, v - avg(v) OVER (PARTITION BY t) AS v FROM s) " + _DETREND.format("c"),
-    "dct_basis": f"WITH {COS} SELECT t, k, " + _r("b", "b") + " FROM basis",
+    "dct_basis": f"WITH {COEF} SELECT vid, k, " + _r("c * c / list_sum(list_transform(ts, lambda q: q * q))", "b") + " FROM coef JOIN vox USING (vid)",
     "dct_coeffs": f"WITH {COEF} SELECT vid, k, " + _r("c", "c") + " FROM coef",
     "dct_residual": f"WITH {COEF}, f AS (SELECT vid, t, sum(c * b) AS f FROM coef JOIN basis USING (k) GROUP BY vid, t) SELECT vid, t, " + _r("v - f", "v") + " FROM s JOIN f USING (vid, t)",
     "split_half_reliability": f"WITH {LONG} SELECT a.vid, " + _r("corr(a.v, b.v)", "r") + " FROM s a JOIN s b ON a.vid = b.vid AND a.t % 2 = 0 AND b.t = a.t + 1 GROUP BY a.vid",

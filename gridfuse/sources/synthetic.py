@@ -124,10 +124,15 @@ def band_series(n_time: int) -> np.ndarray:
     return np.stack([np.sin(t), 0.8 * np.sign(np.sin(3 * t)), 0.6 * np.sin(2 * t + math.pi / 4)])
 
 
+def thirds(voxels: DataFrame, width: int) -> DataFrame:
+    """(vid, cid): the three bands of `band_volume` along x."""
+    third = [F.col("x") + 1 <= width * i / 3 for i in (1, 2)]
+    return voxels.select("vid", F.when(third[0], 1).when(third[1], 2).otherwise(3).alias("cid"))
+
+
 def band_volume(spark: SparkSession, dims: tuple[int, int, int] = (12, 12, 1), n_time: int = 80, noise: float = 0.15, seed: int = 1) -> DataFrame:
     voxels = grid(spark, *dims)
-    third = [F.col("x") + 1 <= dims[0] * i / 3 for i in (1, 2)]
-    return with_patterns(voxels, voxels.select("vid", F.when(third[0], 1).when(third[1], 2).otherwise(3).alias("cid")), band_series(n_time), noise, seed)
+    return with_patterns(voxels, thirds(voxels, dims[0]), band_series(n_time), noise, seed)
 
 
 def volume(spark: SparkSession, scenario: str = "blobs", dims: tuple[int, int, int] = (20, 20, 6), k: int = 4, n_time: int = 40, spread: tuple[float, float, float] = (3.0, 3.0, 2.0), noise: float = 0.1, amplitude: tuple[float, float] = (1.0, 1.0), kind: str = "orthogonal", block: int = 2, jitter: float = 0.1, seed: int = 1) -> DataFrame:
