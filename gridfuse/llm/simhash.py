@@ -202,15 +202,18 @@ def link(prints: DataFrame, bands: list[np.ndarray], radius: int, shard_nodes: i
     return searched(dealt, names, radius, shard_nodes, spanning, "a long, b long").distinct()
 
 
-def searched(dealt: DataFrame, names: list[str], radius: int, shard_nodes: int, found, schema: str, extra: tuple[str, ...] = (), rows_at_once: int = ROWS) -> DataFrame:
+def searched(dealt: DataFrame, names: list[str], radius: int, shard_nodes: int, found, schema: str, extra: tuple[str, ...] = (), rows_at_once: int = ROWS, facts: DataFrame | None = None) -> DataFrame:
     """Rows (bucket, node, *names, *extra) -> what `found` makes of the pairs of each bucket within the radius.
 
-    If a component `home` is among `extra`, buckets of a single one are left out.
+    If a component `home` is among `extra`, buckets of a single one are left out. Columns that `dealt` lacks come from `facts`, by node, once it is
+    known which buckets count, so that wide rows are dealt out for those only.
     """
     home = "home" in extra
     sizes = dealt.groupBy("bucket").agg(F.count("*").alias("n"), *([F.min("home").alias("lo"), F.max("home").alias("hi")] if home else [])).filter("n > 1 AND lo < hi" if home else "n > 1")
     sizes = sizes.select("bucket", F.ceil(F.col("n") / shard_nodes).cast("int").alias("m"))
-    rows = dealt.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    rows = dealt.join(sizes, "bucket")
+    rows = rows if facts is None else rows.join(facts, "node")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
     # Blocks i <= j of a bucket meet in the shard (i, j): the tree of i, searched with j.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", *extra, *names)
@@ -438,13 +441,13 @@ def near_copies(documents: DataFrame, words: int, lanes: int, radius: int, bands
                 begin, total = end, 0
         yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out]), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.binary())], ["unit", "nodes", "pairs"])
 
-    dealt = distinct.select(F.explode("keys").alias("bucket"), "node", *names)
-    first = searched(dealt, names, radius, shard_nodes, nearest, "a long, d long, b long")
+    dealt = distinct.select(F.explode("keys").alias("bucket"), "node")
+    first = searched(dealt, names, radius, shard_nodes, nearest, "a long, d long, b long", facts=distinct.select("node", *names))
     first, _ = common.cut(first.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "pairs")
     links, _ = common.cut(similar(first, documents, distinct, words, percent), "links")
     homes, _ = common.cut(connected(links), "homes")
-    placed = distinct.join(homes, "node", "left").select(F.posexplode("keys").alias("band", "bucket"), "node", F.coalesce("component", "node").alias("home"), "n", "keys", *names)
-    asked = searched(placed, names, radius, shard_nodes, apart, "unit string, nodes array<long>, pairs binary", ("home", "n", "keys", "band"), ROWS >> 3)
+    placed = distinct.join(homes, "node", "left").select(F.posexplode("keys").alias("band", "bucket"), "node", F.coalesce("component", "node").alias("home"))
+    asked = searched(placed, names, radius, shard_nodes, apart, "unit string, nodes array<long>, pairs binary", ("home", "n", "keys", "band"), ROWS >> 3, facts=distinct.select("node", "n", "keys", *names))
     asked, _ = common.cut(asked, "units")
     more, _ = common.cut(links_between(asked, documents, distinct, words, percent), "links")
     classes = connected(links.union(more))
