@@ -78,17 +78,17 @@ def count(documents: DataFrame, target: np.ndarray, toxic: np.ndarray, buckets:
     return out
 
 
-def ratio(target: np.ndarray, other: np.ndarray, z: float, smooth: bool = False) -> np.ndarray:
-    """log p_target - log p_other of each bucket, add-one smoothed; 0 where the counts differ by under z standard errors, or shrunk `smooth`ly.
+def ratio(target: np.ndarray, other: np.ndarray, z: float) -> np.ndarray:
+    """log p_target - log p_other of each bucket, add-one smoothed, shrunk by its evidence: half is left where the counts differ by z standard errors.
 
-    Counts are compared as square roots, whose error hardly depends on the count.
+    Counts are compared as square roots, whose error hardly depends on the count. Nothing is cut off, so few labels give weak ratios and not none.
     """
     n, m = int(target.sum()), int(other.sum())
     if not n or not m:
         return np.zeros(len(target), np.float32)
     found = np.log((target + 1) / (n + len(target))) - np.log((other + 1) / (m + len(other)))
     apart = 2 * np.abs(np.sqrt(other + 0.375) - np.sqrt(target * (m / n) + 0.375)) / np.sqrt(1 + m / n)
-    return (found * apart**4 / (apart**4 + z**4) if smooth else np.where(apart >= z, found, 0)).astype(np.float32)
+    return (found * apart**4 / (apart**4 + z**4)).astype(np.float32)
 
 
 class Classifier:
@@ -99,7 +99,7 @@ class Classifier:
         self.temperature, self.seed = temperature, seed
         self.target, toxic = labelled(labels, sample)
         raw_n, target_n, toxic_n = count(documents, self.target, toxic, buckets)
-        self.sent = spark.sparkContext.broadcast((ratio(target_n, raw_n, RAW_Z), ratio(target_n, toxic_n, TOXIC_Z, smooth=True)))
+        self.sent = spark.sparkContext.broadcast((ratio(target_n, raw_n, RAW_Z), ratio(target_n, toxic_n, TOXIC_Z)))
         self.scored, _ = common.cut(self._ratios(documents), "ratios")
         known = self.scored.filter("is_target").select("mean_raw", "sum_toxic").toPandas()  # rows of at most `sample` ids
         self.bounds = [float(known[c].quantile(lost)) if len(known) else 0.0 for c in ("mean_raw", "sum_toxic")]
