@@ -34,7 +34,7 @@ def bands(spark):
     return synthetic.with_series(v, synthetic.bands(v), 16, 0.05).cache()
 
 
-@pytest.mark.parametrize("method, options", [("snic", {}), ("flash3d", {"rounds": 1}), ("mcl", {"rounds": 4}), ("acsc", {"refinements": 1}), ("commute", {"rounds": 3}), ("rena_plus", {}), ("slice_msf", {}), ("g3s", {}), ("corr_slic", {"dimensions": 8}), ("brs_slic", {"dimensions": 8}), ("supervoxels", {"rounds": 3})])
+@pytest.mark.parametrize("method, options", [("snic", {}), ("flash3d", {"rounds": 1}), ("mcl", {"rounds": 4}), ("acsc", {"refinements": 1}), ("commute", {"starts": 2}), ("rena_plus", {}), ("slice_msf", {}), ("g3s", {}), ("corr_slic", {"dimensions": 8}), ("brs_slic", {"dimensions": 8}), ("supervoxels", {"rounds": 3})])
 def test_method_labels_every_voxel(spark, bands, method, options):
     found = cluster.cluster(bands.drop("cid"), 3, method, **options)
     rows = found.toPandas()
