@@ -3,9 +3,8 @@
 Texts are bags of hashed words and word pairs. Generative models over the
 buckets are counted for target text (labelled good and not toxic), for raw text (every document)
 and for toxic text. A document's log weight comes from the log ratio of target to raw,
-a mean over its n-grams, and from that of target to toxic, a sum. In the first, a bucket whose
-counts differ by under RAW_Z standard errors has ratio 0, so that only proven differences count; the second, of few
-labelled texts, is shrunk smoothly by its standard errors, half of it being left at TOXIC_Z, so that rare words count too. Both are put on
+a mean over its n-grams, and from that of target to toxic, a sum. Both are shrunk smoothly by their standard errors, half of a ratio being left at RAW_Z
+or TOXIC_Z of them, so that rare words count too and no size switches them on or off. Both are put on
 one scale by the scores that all but `lost` of the labelled target texts exceed; the log weight is
 the smaller margin. Gumbel top-k sampling without replacement then keeps k documents, k being the
 number with a log weight of at least zero.
