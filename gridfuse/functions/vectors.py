@@ -116,3 +116,32 @@ def fisher_z(r) -> Column:
 
 def hamming(a, b) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
+
+
+def ranks(a) -> Column:
+    """Rank of each entry, from 1; equal entries share the mean of their ranks."""
+    less = lambda v, x: F.size(F.filter(v, lambda y: y < x))
+    same = lambda v, x: F.size(F.filter(v, lambda y: y == x))
+    return let(col(a), lambda v: F.transform(v, lambda x: less(v, x) + (same(v, x) + 1) / 2.0))
+
+
+def spearman(a, b) -> Column:
+    """Correlation of ranks; null where one side is constant."""
+    return let(F.struct(ranks(a).alias("a"), ranks(b).alias("b")), lambda r: correlation(r.a, r.b))
+
+
+def median(a) -> Column:
+    """Middle entry, or the mean of the two middle ones; null of an empty array."""
+    at = lambda v, i: F.get(v, i.cast("int"))
+    return let(F.array_sort(col(a)), lambda v: (at(v, F.floor((F.size(v) - 1) / 2)) + at(v, F.floor(F.size(v) / 2))) / 2)
+
+
+def huber_location(a, k: float = 1.5, rounds: int = 50) -> Column:
+    """Huber's location: from the median on, the mean of entries held within k scaled absolute deviations, `rounds` times; the median where these are zero."""
+    spread = lambda v, m: 1.4826 * median(F.transform(v, lambda x: F.abs(x - m)))
+    held = lambda v, m, s: total(F.transform(v, lambda x: F.least(F.greatest(x, m - k * s), m + k * s))) / F.size(v)
+
+    def located(v) -> Column:
+        return let(median(v), lambda m: let(spread(v, m), lambda s: F.when(s > 0, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), m, lambda acc, _: held(v, acc, s))).otherwise(m)))
+
+    return let(col(a), located)

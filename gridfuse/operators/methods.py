@@ -171,8 +171,11 @@ def mcl(voxels: DataFrame, k: int, spatial_weight: float = 0.2, inflation: float
     return groups.dense(flow.markov(voxels, edges, inflation, min(64, max(16, k)), rounds=rounds).withColumn("cid", F.col("cid") + 1))
 
 
-def acsc(voxels: DataFrame, k: int, block: int = 2, refinements: int = 5, near: int = 10, alpha: float = 0.5, weighting: str = "gaussian", projection: str | None = None, components: int = 0) -> DataFrame:
-    """Communities of a graph of block means: each block's nearest by features, weighted with their places, at the resolution that gives about k; then refined boundaries."""
+def acsc(voxels: DataFrame, k: int, block: int = 2, refinements: int = 5, near: int = 10, alpha: float = 0.5, weighting: str = "gaussian", projection: str | None = None, components: int = 0, metric: str | None = None) -> DataFrame:
+    """Communities of a graph of block means: each block's nearest by features, weighted with their places, at the resolution that gives about k; then refined boundaries.
+
+    With a `metric` series are cleaned first (`series.clean_for_blocks`)."""
+    voxels = voxels if metric is None else graph.saved(series.clean_for_blocks(voxels, metric))
     edges, nodes, own = neighbours.block_graph(voxels, block, near, alpha, weighting, projection, components)
     found, _, _ = louvain.to_k(nodes.select("vid"), edges, k)
     labels = own.join(found.select(F.col("vid").alias("cid"), F.col("cid").alias("new")), "cid").select("vid", F.col("new").alias("cid"))

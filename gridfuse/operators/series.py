@@ -145,8 +145,11 @@ def masked(voxels: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1
 
 
 def clean_for_blocks(voxels: DataFrame, metric: str = "pearson") -> DataFrame:
-    """Spatial means and each voxel's line taken off; other metrics than `pearson` change nothing there or lose the series, and are refused."""
-    if metric != "pearson":
-        raise ValueError("only the metric pearson is defined")
-    rows = center_volumes(voxels)
-    return rows.withColumn("ts", detrended("ts"))
+    """Spatial means and each voxel's line taken off. With `spearman` the series are then ranks, so that products of unit series are rank correlations;
+    with `robust` a series is its one robust location."""
+    if metric not in ("pearson", "spearman", "robust"):
+        raise ValueError("metric must be pearson, spearman or robust")
+    rows = center_volumes(voxels).withColumn("ts", detrended("ts"))
+    if metric == "pearson":
+        return rows
+    return rows.withColumn("ts", demeaned(V.ranks("ts")) if metric == "spearman" else F.array(V.huber_location("ts")))

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridfuse.operators import forest, louvain, methods, neighbours, slices, spectral
+from gridfuse.functions import vectors as V
+from gridfuse.operators import ensemble, forest, louvain, methods, neighbours, slices, spatial, spectral
 from gridfuse.plans import more as M
 from gridfuse.plans import queries as Q
 from gridfuse.sources import synthetic
@@ -204,6 +205,43 @@ SPECTRA = {
     "graph_step": (one_step, f"WITH {VOX}, {COMMUTE}, wy AS (SELECT src, dst, w FROM w UNION ALL SELECT dst, src, w FROM w), dg AS (SELECT src AS vid, sum(w) AS g FROM wy GROUP BY src), ad AS (SELECT src AS vid, sum(w / sqrt(a.g * b.g) * v.x) AS sx FROM wy JOIN dg a ON a.vid = src JOIN dg b ON b.vid = dst JOIN vox v ON v.vid = dst GROUP BY src) SELECT vid, " + _r("0.5 * sqrt(g)", "c0") + ", " + _r("sx - 0.5 * x", "c1") + " FROM ad JOIN dg USING (vid) JOIN vox USING (vid)"),
 }
 
-ALL = FORESTS | SLICES | COMMUNITIES | SPECTRA
+# -- ranks, robust location, soft memberships ------------------------------------------------
+
+
+def rank_correlations(s, d):
+    pairs = spatial.with_features(Q.edges(s, d), tens(s, d))
+    return rounded(pairs.select("src", "dst", V.spearman("a", "b").alias("r")), "r")
+
+
+def tens(s, d):
+    """Series rounded to tenths, so that ranks have ties."""
+    return vox(s, d).withColumn("ts", F.transform("ts", lambda v: F.round(v * 10, 0)))
+
+
+def locations(s, d):
+    return rounded(vox(s, d).select("vid", V.huber_location("ts").alias("mu")), "mu")
+
+
+RANKED = f"tn AS (SELECT vid, t, round(v * 10, 0) AS v FROM s), rk AS (SELECT vid, t, rank() OVER (PARTITION BY vid ORDER BY v) + (count(*) OVER (PARTITION BY vid, v) - 1) / 2.0 AS r FROM tn), {Q._edges_sql(1)}"
+HUBER = (
+    "md AS (SELECT vid, median(v) AS m FROM s GROUP BY vid), mad AS (SELECT vid, any_value(m) AS m, 1.4826 * median(abs(v - m)) AS sp FROM s JOIN md USING (vid) GROUP BY vid), "
+    "it(vid, ts, sp, i, mu) AS (SELECT vid, ts, sp, 0, m FROM mad JOIN vox USING (vid) UNION ALL SELECT vid, ts, sp, i + 1, list_avg(list_transform(ts, lambda v: least(greatest(v, mu - 1.5 * sp), mu + 1.5 * sp))) FROM it WHERE i < 50)"
+)
+
+
+def memberships(s, d):
+    """Shares of three partitions after fixed renamings."""
+    v = vox(s, d)
+    turned = [{c: (c + by - 1) % 10 + 1 for c in range(1, 11)} for by in (0, 3, 5)]
+    return rounded(ensemble.averaged([labels(s, d), synthetic.checkerboard(v, 4, 5), synthetic.checkerboard(v, 3, 3)], turned), "p")
+
+
+ROBUST = {
+    "rank_correlation": (rank_correlations, f"WITH {Q.LONG}, {RANKED} SELECT src, dst, " + _r("corr(a.r, b.r)", "r") + " FROM e JOIN rk a ON a.vid = src JOIN rk b ON b.vid = dst AND b.t = a.t GROUP BY src, dst"),
+    "huber_location": (locations, f"WITH RECURSIVE {Q.LONG}, {HUBER} SELECT vid, " + _r("mu", "mu") + " FROM it WHERE i = 50"),
+    "soft_memberships": (memberships, f"WITH {VOX}, {PARTS}, al AS (SELECT vid, a AS c FROM pt UNION ALL SELECT vid, (b + 2) % 10 + 1 FROM pt UNION ALL SELECT vid, (c + 4) % 10 + 1 FROM pt) SELECT vid, c::INT AS c, " + _r("count(*) / 3.0", "p") + " FROM al GROUP BY vid, c"),
+}
+
+ALL = FORESTS | SLICES | COMMUNITIES | SPECTRA | ROBUST
 QUERIES = {name: query for name, (query, _) in ALL.items()}
 ORACLES = {name: sql for name, (_, sql) in ALL.items() if sql}

@@ -1,6 +1,7 @@
 """Forests, slices, feature neighbours, communities, growth and spectra: against SQL, sequential runs, brute force and closed forms."""
 
 import heapq
+import itertools
 import math
 import random
 
@@ -8,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 from gridfuse.functions import vectors as V
-from gridfuse.operators import forest, growth, local, louvain, measures, methods, neighbours, slices, spatial, spectral
+from gridfuse.operators import ensemble, forest, growth, local, louvain, measures, merge, methods, neighbours, series, slices, spatial, spectral
 from gridfuse.plans import rounds as R
 from gridfuse.sources import synthetic
 from pyspark.sql import functions as F
@@ -204,3 +205,50 @@ def test_spectrum_of_a_torus(spark):
 def test_commute_finds_cubes(spark):
     v = synthetic.cube_volume(spark, 40, 0.0, 8, 3)
     assert measures.accuracy(methods.commute(v.drop("cid"), 8, starts=4), v.select("vid", "cid")).first().ari > 0.9
+
+
+def test_assignment_and_soft_consensus(spark):
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 5, 7):
+        gain = rng.integers(0, 9, (n, n))
+        best = max(sum(gain[i, p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
+        found = ensemble.assignment(gain)
+        assert sorted(found) == list(range(n)) and sum(gain[i, c] for i, c in enumerate(found)) == best
+    # Three partitions of six, the same two halves but for one voxel of the last, under different names.
+    parts = [[1, 1, 1, 2, 2, 2], [9, 9, 9, 4, 4, 4], [2, 2, 1, 1, 1, 1]]
+    tables = [spark.createDataFrame(list(enumerate(p)), "vid long, cid int") for p in parts]
+    soft, hard = ensemble.soft_consensus(tables)
+    assert as_parts(hard) == {frozenset((0, 1, 2)), frozenset((3, 4, 5))}
+    assert {(r.vid, r.c): round(r.p, 6) for r in soft.collect()}[2, 1] == round(2 / 3, 6)
+    assert as_parts(ensemble.temporal_consensus(tables)) == as_parts(hard)
+    with pytest.raises(ValueError):
+        ensemble.soft_consensus(tables[:1])
+
+
+def test_one_dendrogram_many_cuts(spark):
+    """Ward's merging of values that are all neighbours, one merge at a time; on a line heights never fall and cuts are nested."""
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=12), 3)
+    v = spark.createDataFrame([(i, i, 0, 0, [float(q)]) for i, q in enumerate(x)], "vid long, x int, y int, z int, ts array<double>")
+    every = spark.createDataFrame(list(itertools.combinations(range(12), 2)), "src long, dst long").withColumn("w", F.lit(0.0))
+    merges = merge.dendrogram(merge.leaves(v), every)
+    parts, found = [[i] for i in range(12)], {}
+    while len(parts) > 1:
+        price = {(i, j): len(a) * len(b) / (len(a) + len(b)) * (x[a].mean() - x[b].mean()) ** 2 for (i, a), (j, b) in itertools.combinations(enumerate(parts), 2)}
+        i, j = min(price, key=price.get)
+        parts = [p for n, p in enumerate(parts) if n not in (i, j)] + [parts[i] + parts[j]]
+        found[len(parts)] = parts
+    assert merges.count() == 11
+    for k in (2, 5):
+        assert as_parts(merge.cut_at(v, merges, k)) == {frozenset(p) for p in found[k]}
+    line = merge.dendrogram(merge.leaves(v), spatial.grid_edges(v, 6).withColumn("w", F.lit(0.0)))
+    few, many = (as_parts(merge.cut_at(v, line, k)) for k in (3, 6))
+    assert len(few) == 3 and len(many) == 6 and all(any(m <= f for f in few) for m in many)
+
+
+def test_cleaning_for_blocks(spark):
+    v = spark.createDataFrame([(i, i, 0, 0, [float((i * 7 + t * t) % 11) for t in range(8)]) for i in range(5)], "vid long, x int, y int, z int, ts array<double>")
+    assert all(len(r.ts) == 1 for r in series.clean_for_blocks(v, "robust").collect())
+    assert all(abs(sum(r.ts)) < 1e-9 and sorted(set(np.diff(np.sort(r.ts)))) for r in series.clean_for_blocks(v, "spearman").collect())
+    with pytest.raises(ValueError):
+        series.clean_for_blocks(v, "cosine")
