@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from gridfuse.llm.bpe_lexicon import op11_bpe
-from gridfuse.llm.hard_negatives import op12_hard_negatives
+from gridfuse.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from gridfuse.llm.importance import op4_importance
 from gridfuse.llm.language import op5_language
 from gridfuse.llm.language_model import op2_language_model
@@ -36,4 +36,4 @@ QUERIES = {
     )
 }
 
-ORACLES = {"op9_quality_rules": OP9_SQL, "quality_ablations": ABLATIONS_SQL}
+ORACLES = {"op12_hard_negatives": OP12_SQL, "op9_quality_rules": OP9_SQL, "quality_ablations": ABLATIONS_SQL}
