@@ -33,7 +33,7 @@ from gridfuse.llm.components import connected
 
 SEED = 42
 #: Frontier entries handled at once in a search.
-FRONTIER = 1 << 20
+FRONTIER = 1 << 17
 #: Rows of whole buckets handled at once.
 ROWS = 1 << 16
 #: Shingles of the sets that are compared at once.
