@@ -426,10 +426,15 @@ def near_copies(documents: DataFrame, words: int, lanes: int, radius: int, bands
         q, t = np.concatenate(held, 1)
         if not len(q):
             return
-        order = np.argsort(group[q], kind="stable")
+        # A group of more than UNIT shingles is cut into blocks of half of that (a longer text is one alone); its pairs meet block by block.
+        before, first = np.cumsum(size) - size, np.searchsorted(group, group)
+        heavy = np.bincount(group, size)[group] > UNIT
+        block = np.where(heavy, (before - before[first]) // (UNIT // 2), 0)
+        order = np.lexsort((block[t], block[q], group[q]))
         q, t = q[order], t[order]
-        # Units are whole groups, together of about UNIT shingles.
-        ends = np.append(np.flatnonzero(np.diff(group[q])) + 1, len(q))
+        edges = (np.diff(group[q]) != 0) | (np.diff(block[q]) != 0) | (np.diff(block[t]) != 0)
+        # Units are whole blocks' pairs, together of about UNIT shingles.
+        ends = np.append(np.flatnonzero(edges) + 1, len(q))
         begin, total, at = 0, 0, 0
         out = []
         for end in ends.tolist():

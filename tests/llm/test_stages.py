@@ -36,6 +36,23 @@ def test_near_duplicates(spark):
     assert 60 < len(expected) - 250 < 240
 
 
+def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
+    """Where a bucket's sets exceed a unit, its pairs meet block by block, and the classes stay the same."""
+    rng = random.Random(9)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(300)]
+    texts = []
+    for _ in range(60):
+        words = list(base)
+        for _ in range(3):
+            words[rng.randrange(300)] = f"u{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"x{rng.randrange(10**6)}" for _ in range(300)) for _ in range(5)]
+    whole = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, texts), 5, 4, 76, 24, 6).collect()}
+    monkeypatch.setattr(simhash, "UNIT", 1200)
+    cut = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, texts), 5, 4, 76, 24, 6).collect()}
+    assert cut == whole and len(set(whole.values())) == 6
+
+
 def test_repeated_passages(spark):
     """Runs of over 50 equal words go however short they are in bytes, runs of 50 words stay."""
     rng = random.Random(4)
