@@ -37,7 +37,7 @@ FRONTIER = 1 << 17
 #: Rows of whole buckets handled at once.
 ROWS = 1 << 16
 #: Shingles of the sets that are compared at once.
-UNIT = 1 << 21
+UNIT = 1 << 20
 
 
 # -- fingerprints -----------------------------------------------------------
@@ -343,13 +343,18 @@ def alike(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, percent: int) ->
     place = np.cumsum(times > 1) - 1
     words = int((times > 1).sum()) // 64 + 1
     if len(a) > 4 * len(sets) and words * len(sets) < 1 << 25:
-        bits = np.zeros((len(sets), words), np.uint64)
         keep = times[which] > 1
-        at = place[which[keep]]
-        np.bitwise_or.at(bits, (owner[keep], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
-        step = max(1, (1 << 22) // words)
-        for i in range(0, len(a), step):
-            shared[i : i + step] = np.bitwise_count(bits[a[i : i + step]] & bits[b[i : i + step]]).sum(1)
+        owner, at = owner[keep], place[which[keep]]
+        shared[:] = 0
+        # A run of words at a time: what the pairs share adds up over the runs.
+        wide = max(1, (1 << 21) // len(sets))
+        for low in range(0, words, wide):
+            part = slice(None) if wide >= words else (at >= low << 6) & (at < (low + wide) << 6)
+            bits = np.zeros((len(sets), min(wide, words - low)), np.uint64)
+            np.bitwise_or.at(bits, (owner[part], (at[part] >> 6) - low), np.uint64(1) << (at[part] & 63).astype(np.uint64))
+            step = max(1, (1 << 20) // bits.shape[1])
+            for i in range(0, len(a), step):
+                shared[i : i + step] += np.bitwise_count(bits[a[i : i + step]] & bits[b[i : i + step]]).sum(1, dtype=np.int64)
     else:
         for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
             shared[i] = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
