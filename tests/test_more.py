@@ -93,3 +93,37 @@ def test_stream_labels_far_voxels(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
     assign.label_stream(stream, centers, 3.0, 0.1, f"{tmp_path}/out", f"{tmp_path}/state", once=True).awaitTermination()
     assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("vid", "cid").collect()) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_running_centers_count_each_batch_once(spark, tmp_path):
+    """Means follow the batches in their order, as in a sequential run; a batch that is run again changes nothing."""
+    rng = np.random.default_rng(5)
+    rows = [(i, int(rng.integers(0, 12)), int(rng.integers(0, 12)), int(rng.integers(0, 12)), [float(v) for v in rng.integers(-8, 9, 3)]) for i in range(90)]
+    schema = "vid long, x int, y int, z int, ts array<double>"
+    centers = [(1, 2, [4.0, 4.0, 4.0], 3.0, 3.0, 3.0), (2, 1, [-4.0, -4.0, -4.0], 9.0, 9.0, 9.0)]
+    start = spark.createDataFrame(centers, "cid long, n long, feat array<double>, cx double, cy double, cz double")
+    for i in range(3):
+        spark.createDataFrame(rows[30 * i : 30 * i + 30], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    assign.running_centers(stream, start, 12.0, 0.5, f"{tmp_path}/out", f"{tmp_path}/state", once=True).awaitTermination()
+
+    held = {c: np.array([n, x * n, y * n, z * n, *(v * n for v in f)]) for c, n, f, x, y, z in centers}
+    seen = {r.vid: (r.cid, r.batch) for r in spark.read.parquet(f"{tmp_path}/out/labels").collect()}
+    assert len(seen) == 90 and {b for _, b in seen.values()} == {0, 1, 2}
+    for number in range(3):
+        now = {c: h[1:] / h[0] for c, h in held.items()}
+        for vid, x, y, z, ts in rows:
+            if seen[vid][1] == number:
+                cost = {c: ((np.array(ts) - m[3:]) ** 2).sum() + ((np.array([x, y, z]) - m[:3]) ** 2).sum() * 0.25 / 144 for c, m in now.items()}
+                assert min(cost, key=cost.get) == seen[vid][0]
+                held[seen[vid][0]] += np.array([1.0, x, y, z, *ts])
+    sums = lambda n: {(r.cid, r.pos): r.v for r in spark.read.parquet(f"{tmp_path}/out/sums/version={n}").collect()}
+    expected = {(c, p): v for c, h in held.items() for p, v in enumerate(h.tolist())}
+    assert sums(2) == expected
+    last = spark.createDataFrame([r for r in rows if seen[r[0]][1] == 2], schema)
+    assign.add_batch(last, 2, start, 12.0, 0.5, f"{tmp_path}/out")
+    assert sums(2) == expected
+    found = {r.cid: r for r in assign.means(spark.read.parquet(f"{tmp_path}/out/sums/version=2")).collect()}
+    assert all(found[c].n == h[0] and np.allclose([found[c].cx, found[c].cy, found[c].cz, *found[c].feat], h[1:] / h[0]) for c, h in held.items())
+    assign.add_batch(last.limit(0), 3, start, 12.0, 0.5, f"{tmp_path}/out")
+    assert sums(3) == expected
