@@ -95,3 +95,10 @@ def test_volumes_and_trial_rows(spark, tmp_path):
     assert back["rena"].error is None and float(back["rena"].ari) == 1 and "ValueError" in back["none"].error
     made = volumes.write_nifti(v, v.select("vid", "cid"), f"{tmp_path}/nii", (4, 4, 6), only=2).first()
     assert volumes.read_nifti(spark, made.path).filter("ts[0] = 1").count() == 32
+
+
+def test_nifti_keeps_to_the_rows_of_an_unfinished_slice(spark, tmp_path):
+    spark.read.parquet(f"{D}/embeddings.parquet").filter("vec_id < 456 AND vec_id <> 37").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = W.QUERIES["nifti_round_trip"](spark, str(tmp_path)).select("vid", "cid").toPandas().sort_values("vid")
+    want = W.labels(spark, str(tmp_path)).toPandas().sort_values("vid")
+    assert got.to_numpy().tolist() == want.to_numpy().tolist()
