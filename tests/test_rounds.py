@@ -252,3 +252,12 @@ def test_cleaning_for_blocks(spark):
     assert all(abs(sum(r.ts)) < 1e-9 and sorted(set(np.diff(np.sort(r.ts)))) for r in series.clean_for_blocks(v, "spearman").collect())
     with pytest.raises(ValueError):
         series.clean_for_blocks(v, "cosine")
+
+
+@pytest.mark.parametrize("scale", [0.9, 1.9])
+def test_segments_do_not_depend_on_the_groups(spark, scale):
+    v, rows = R.vox(spark, D).select("vid"), R.edges_d(spark, D).collect()
+    table = spark.createDataFrame(rows, "src long, dst long, w double")
+    want = sequential(500, [(r.src, r.dst, r.w) for r in rows], scale)[0]
+    for size in (70, forest.GROUP):
+        assert as_parts(forest.segments(v, table, scale, size=size)) == want
