@@ -261,3 +261,15 @@ def test_segments_do_not_depend_on_the_groups(spark, scale):
     want = sequential(500, [(r.src, r.dst, r.w) for r in rows], scale)[0]
     for size in (70, forest.GROUP):
         assert as_parts(forest.segments(v, table, scale, size=size)) == want
+
+
+def test_steps_by_slabs_equal_steps_by_edges(spark):
+    v = R.vox(spark, D)
+    _, s = spectral.normalised(v, R.weights(spark, D))
+    own = v.select(F.col("vid").alias("src"), F.col("vid").alias("dst"), F.lit(0.0).alias("s"), F.lit(1.0).alias("own"))
+    slab = spectral.slabs(v.select("vid"), 90)
+    steps = s.withColumn("own", F.lit(0.0)).union(own).withColumn("slab", slab("dst"))
+    block = v.select("vid", F.sin("vid").alias("p0"), F.cos("vid").alias("c0"))
+    one, two = (spectral.stepped(block, steps, 1, 1.5, -0.25, -1.0, how).toPandas().sort_values("vid").to_numpy() for how in (None, slab))
+    assert v.select(slab("vid")).distinct().count() > 4
+    np.testing.assert_allclose(one, two, atol=1e-12)
