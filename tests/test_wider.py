@@ -102,3 +102,11 @@ def test_nifti_keeps_to_the_rows_of_an_unfinished_slice(spark, tmp_path):
     got = W.QUERIES["nifti_round_trip"](spark, str(tmp_path)).select("vid", "cid").toPandas().sort_values("vid")
     want = W.labels(spark, str(tmp_path)).toPandas().sort_values("vid")
     assert got.to_numpy().tolist() == want.to_numpy().tolist()
+
+
+def test_nearest_voxels_meet_only_those_around(spark):
+    v = W.vox(spark, D).filter("vid % 7 = 0 AND NOT (x BETWEEN 2 AND 7 AND y BETWEEN 2 AND 7)")
+    points = seeds.grid_points(v, (3, 4, 3), True)
+    found = {r.p: r.vid for r in seeds.nearest_voxels(v, points).collect()}
+    rows, asked = v.select("vid", "x", "y", "z").collect(), points.collect()
+    assert found == {p.p: min(((r.x - p.px) ** 2 + (r.y - p.py) ** 2 + (r.z - p.pz) ** 2, r.vid) for r in rows)[1] for p in asked}
