@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 from gridfuse.llm import importance, simhash, stages, suffix
+from pyspark.sql import functions as F
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -101,3 +102,22 @@ def test_suffix_order_decides_repeats(spark, monkeypatch):
     monkeypatch.setattr(suffix, "suffix_ranks", ranks)
     suffix.repeated_windows(suffix.keyed(frame(spark, texts)), 60, 40)
     assert min(held["names"].count(x) for x in held["names"]) == 1 < max(held["names"].count(x) for x in held["names"])
+
+
+def test_suffix_order_is_needed(spark, monkeypatch):
+    """Texts that go on in different ways after the same words, each twice: in the order of first names alone their copies are not beside each other."""
+    rng = random.Random(8)
+    word = lambda: f"v{rng.randrange(10**5)}"
+    head = [word() for _ in range(60)]
+    texts = [" ".join(head + [word() for _ in range(40)]) for _ in range(12)] * 2
+    docs = suffix.keyed(frame(spark, texts))
+    runs = lambda: sorted(tuple(r) for r in suffix.repeated_windows(docs, 60, 40).collect())
+
+    def windows(rows):
+        return {(key, i) for key, first, stop in rows for i in range(first, stop)}
+
+    real = runs()
+    assert len(windows(real)) == sum(len(t.encode()) - 59 for t in texts)
+    whole = suffix.suffix_ranks
+    monkeypatch.setattr(suffix, "suffix_ranks", lambda strings, depth=None: whole(strings, depth).withColumn("rank", F.col("x0")))
+    assert runs() != real and windows(runs()) == windows(real)
