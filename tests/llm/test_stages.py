@@ -121,3 +121,15 @@ def test_suffix_order_is_needed(spark, monkeypatch):
     whole = suffix.suffix_ranks
     monkeypatch.setattr(suffix, "suffix_ranks", lambda strings, depth=None: whole(strings, depth).withColumn("rank", F.col("x0")))
     assert runs() != real and windows(runs()) == windows(real)
+
+
+def test_suffix_order_is_needed_for_passages(spark, monkeypatch):
+    """As above, by words, as the pipeline's stage asks."""
+    rng = random.Random(10)
+    word = lambda: f"v{rng.randrange(10**5)}"
+    head = [word() for _ in range(90)]
+    docs = suffix.keyed(frame(spark, [" ".join(head + [word() for _ in range(90)]) for _ in range(12)] * 2))
+    runs = lambda: sorted(tuple(r) for r in suffix.repeated_windows(docs, stages.PASSAGE, stages.PASSAGE_GRAM, words=True).collect())
+    real, whole = runs(), suffix.suffix_ranks
+    monkeypatch.setattr(suffix, "suffix_ranks", lambda strings, depth=None: whole(strings, depth).withColumn("rank", F.col("x0")))
+    assert runs() != real
