@@ -273,3 +273,20 @@ def test_steps_by_slabs_equal_steps_by_edges(spark):
     one, two = (spectral.stepped(block, steps, 1, 1.5, -0.25, -1.0, how).toPandas().sort_values("vid").to_numpy() for how in (None, slab))
     assert v.select(slab("vid")).distinct().count() > 4
     np.testing.assert_allclose(one, two, atol=1e-12)
+
+
+def test_bounded_neighbours_in_a_tile():
+    """Rows of another tile beyond the bound are left out, equal rows and ties included; no bound leaves the first k."""
+    rng = np.random.default_rng(12)
+    a, b = rng.normal(size=(150, 5)), rng.normal(size=(90, 5))
+    b[40:60] = b[0]
+    a[:3] = b[0]
+    a_ids, b_ids = np.arange(150), np.arange(60, 150)[::-1].copy()
+    bound = np.where(np.arange(150) % 4 == 0, np.nan, rng.uniform(0, 3, 150))
+    found = set(zip(*(x.tolist() for x in neighbours.first_k(a, a_ids, b, b_ids, 4, bound)), strict=True))
+    expected = set()
+    for i in range(150):
+        d = np.sqrt(((b - a[i]) ** 2).sum(1))
+        near = sorted((float(d[j]), int(b_ids[j])) for j in range(90) if b_ids[j] != a_ids[i] and not d[j] > bound[i])[:4]
+        expected |= {(i, j, x) for x, j in near}
+    assert found == expected
