@@ -290,3 +290,11 @@ def test_bounded_neighbours_in_a_tile():
         near = sorted((float(d[j]), int(b_ids[j])) for j in range(90) if b_ids[j] != a_ids[i] and not d[j] > bound[i])[:4]
         expected |= {(i, j, x) for x, j in near}
     assert found == expected
+
+
+def test_cheap_merges_come_before_dear_ones(spark):
+    """9 and 11 are each other's cheapest at once, but all merges of the four small values are cheaper, also those of later rounds."""
+    values = [0.0, 0.1, 0.25, 0.45, 9.0, 11.0]
+    nodes = spark.createDataFrame([(i, 1, [v], 0.0) for i, v in enumerate(values)], "vid long, n long, ts array<double>, inner double")
+    edges = spark.createDataFrame([(i, i + 1, 0.0) for i in range(5)], "src long, dst long, w double")
+    assert as_parts(merge.to_k(nodes, edges, 3, "ward")) == {frozenset({0, 1, 2, 3}), frozenset({4}), frozenset({5})}
