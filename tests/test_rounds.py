@@ -298,3 +298,13 @@ def test_cheap_merges_come_before_dear_ones(spark):
     nodes = spark.createDataFrame([(i, 1, [v], 0.0) for i, v in enumerate(values)], "vid long, n long, ts array<double>, inner double")
     edges = spark.createDataFrame([(i, i + 1, 0.0) for i in range(5)], "src long, dst long, w double")
     assert as_parts(merge.to_k(nodes, edges, 3, "ward")) == {frozenset({0, 1, 2, 3}), frozenset({4}), frozenset({5})}
+
+
+def test_supervoxels_follow_series_of_many_samples(spark):
+    """Two noisy patterns of 64 samples meet at x = 4, the first split by places is at x = 5: with a fixed sigma1 of 1 the feature kernel is nil."""
+    rng = np.random.default_rng(3)
+    patterns = rng.normal(size=(2, 64))
+    places = [(x, y, z) for z in range(3) for y in range(3) for x in range(10)]
+    rows = [(i, x, y, z, (patterns[int(x >= 4)] + rng.normal(0, 0.5, 64)).tolist()) for i, (x, y, z) in enumerate(places)]
+    v = spark.createDataFrame(rows, "vid long, x int, y int, z int, ts array<double>")
+    assert as_parts(methods.supervoxels(v, 2)) == {frozenset(i for i, p in enumerate(places) if (p[0] >= 4) == right) for right in (False, True)}
