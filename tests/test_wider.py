@@ -3,7 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
-from gridfuse.operators import embed, exact, result, seeds, series
+from gridfuse.operators import embed, exact, graph, groups, result, seeds, series
 from gridfuse.plans import wider as W
 from gridfuse.sources import synthetic, volumes
 from pyspark.sql import functions as F
@@ -110,3 +110,13 @@ def test_nearest_voxels_meet_only_those_around(spark):
     found = {r.p: r.vid for r in seeds.nearest_voxels(v, points).collect()}
     rows, asked = v.select("vid", "x", "y", "z").collect(), points.collect()
     assert found == {p.p: min(((r.x - p.px) ** 2 + (r.y - p.py) ** 2 + (r.z - p.pz) ** 2, r.vid) for r in rows)[1] for p in asked}
+
+
+def test_clusters_that_share_a_region_are_split_and_merged(spark):
+    v = graph.saved(W.planted(spark, D))
+    wrong = v.select("vid", F.expr("CASE WHEN cid = 2 AND vid % 2 = 0 THEN 4 WHEN cid = 4 THEN 3 ELSE cid END").alias("cid")).transform(graph.saved)
+    k = wrong.select("cid").distinct().count()
+    assert k == v.select("cid").distinct().count()
+    found = exact.resettled(v.drop("cid"), wrong, k)
+    table = groups.contingency(v.select("vid", "cid"), found)
+    assert table.count() == k and groups.agreement(table).first().ari == 1
