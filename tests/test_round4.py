@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridfuse.operators import exact, louvain, measures, methods, result, spectral
+from gridfuse.functions import vectors as V
+from gridfuse.operators import exact, graph, growth, local, louvain, measures, methods, result, spatial, spectral
 from gridfuse.sources import synthetic
 
 
@@ -61,3 +62,16 @@ def test_communities_settle_by_sweeps(spark, monkeypatch, slab):
     assert moved == {0} and all(after > before for step in history for before, after in step.values())
     assert louvain.moves(labels, table, F.lit(1.0), F.lit(float(len(edges)))).isEmpty()
     assert len(history) == 1 or slab == 40
+
+
+def test_slabs_grow_as_one_queue(spark):
+    v = regions(spark, 100, 3, 0.5).drop("cid")
+    seeds, edges = spark.createDataFrame([(7, 1), (52, 2), (88, 3)], "vid long, cid int"), graph.saved(spatial.grid_edges(v, 26))
+    want = growth.grow(v.filter("vid < 30"), seeds.filter("vid < 30"), edges.filter("dst < 30"), V.region_distance("ts", "feat", local.space(), 4.0, 5.0), unit=True, share=0.0)
+    got = growth.grow_in_slabs(v.filter("vid < 30"), seeds.filter("vid < 30"), edges.filter("dst < 30"), growth.offset_price(4.0, 5.0), unit=True)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    one, many = (growth.grow_in_slabs(v, seeds, edges, growth.cosine_price(0.5, 9.0), ahead=True, slab=slab) for slab in (100, 25))
+    assert one.count() == many.count() == 100
+    for labels in (one, many):
+        assert {(7, 1), (52, 2), (88, 3)} <= set(map(tuple, labels.collect()))
+        assert graph.fragments(labels, edges).select("cid").distinct().count() == 3
