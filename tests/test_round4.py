@@ -75,3 +75,11 @@ def test_slabs_grow_as_one_queue(spark):
     for labels in (one, many):
         assert {(7, 1), (52, 2), (88, 3)} <= set(map(tuple, labels.collect()))
         assert graph.fragments(labels, edges).select("cid").distinct().count() == 3
+
+
+def test_tables_of_a_row_a_voxel_are_not_broadcast(spark):
+    v = regions(spark, 200, 4, 0.1)
+    rows, labels = graph.saved(v.drop("cid")), graph.saved(v.select("vid", "cid"))
+    edges = graph.saved(spatial.grid_edges(rows, 6))
+    for found in (spatial.grid_edges(rows, 6), spatial.boundary(labels, edges), graph.contract(edges, labels), local.kept_or(labels, labels), local.candidates(labels, edges)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
